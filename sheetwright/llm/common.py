@@ -118,3 +118,28 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     stars = current.groupBy("a").agg(F.min("b").alias("component"))
     roots = current.select(F.col("b").alias("node")).distinct().join(stars, F.col("node") == F.col("a"), "left_anti")
     return stars.select(F.col("a").alias("node"), "component").union(roots.select("node", F.col("node").alias("component")))
+
+
+def number_rows(spark: SparkSession, ordered: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``ordered`` (a sorted DataFrame) with ``name``, its rows' places from 0.
+
+    The rows are written in sorted partitions with their place there; only the
+    count of each partition passes through the driver.
+    """
+    from pyspark import TaskContext
+
+    def place(batches):
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], [*batch.schema.names, "_task", "_nth"])
+            at += n
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    kept = scratch.save(ordered.mapInArrow(place, f"{schema}, _task int, _nth long"), "numbered")
+    first, starts = 0, [(-1, 0)]
+    for task, n in sorted(kept.groupBy("_task").count().collect()):
+        starts.append((task, first))
+        first += n
+    offsets = spark.createDataFrame(starts, "_task int, _first long")  # a row for each partition
+    return kept.join(F.broadcast(offsets), "_task").select(*ordered.columns, (F.col("_first") + F.col("_nth")).alias(name))

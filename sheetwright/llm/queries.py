@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheetwright.llm import avi, secrets
+from sheetwright.llm import avi, mixing, packing, quality, secrets
 from sheetwright.llm.common import documents
 
 
+def op2_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, documents(spark, sf_dir))
+
+
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(spark, documents(spark, sf_dir), sf_dir)
+
+
+def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_documents(spark, documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digest(documents(spark, sf_dir))
 
@@ -16,5 +30,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op7_avi_motion_jpeg, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op7_avi_motion_jpeg, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

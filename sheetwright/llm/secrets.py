@@ -207,5 +207,8 @@ def _listed(spans):
 def secret_digest(scanned: DataFrame) -> DataFrame:
     """The digest columns of the query, from ``scan_secrets``."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    def count_of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count_of(k) for k in BASE_KINDS]
     return scanned.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
