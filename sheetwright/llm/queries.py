@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm import avi, mixing, neardup, packing, quality, secrets
+from sheetwright.llm import avi, mixing, neardup, packing, quality, secrets, suffixes
 from sheetwright.llm.common import documents
 
 
@@ -30,9 +30,13 @@ def op8_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def op9_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digest(suffixes.remove_repeats(spark, documents(spark, sf_dir)))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op7_avi_motion_jpeg, op8_hamming_near_dup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op7_avi_motion_jpeg, op8_hamming_near_dup, op9_suffix_merge_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
