@@ -143,3 +143,12 @@ def number_rows(spark: SparkSession, ordered: DataFrame, scratch: Scratch, name:
         first += n
     offsets = spark.createDataFrame(starts, "_task int, _first long")  # a row for each partition
     return kept.join(F.broadcast(offsets), "_task").select(*ordered.columns, (F.col("_first") + F.col("_nth")).alias(name))
+
+
+def save_bucketed(spark: SparkSession, df: DataFrame, scratch: Scratch, column: str, buckets: int) -> DataFrame:
+    """``df`` written in ``buckets`` by ``column``, so that joins on it need not move its rows."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{scratch.path}/{name}").bucketBy(buckets, column).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as the path is given
+    return table

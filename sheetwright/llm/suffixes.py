@@ -31,7 +31,6 @@ Texts shorter than LENGTH bytes lose nothing.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch
+from sheetwright.llm.common import Scratch, save_bucketed
 
 LENGTH = 50
 GRAM = 32
@@ -483,10 +482,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, total // (2 * block_bytes) + 1)
     bits = max(6, int(total // (8 * block_bytes)).bit_length())
-    name = f"blocks_{uuid.uuid4().hex}"
-    gathered = _gather(docs, block_bytes)
-    gathered.write.option("compression", "zstd").option("path", f"{scratch.path}/blocks").bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = save_bucketed(spark, _gather(docs, block_bytes), scratch, "block", buckets)
     marks = scratch.save(_mark_anchors(_anchor_ranges(blocks, bits), hot_blocks), "marks")
     pairs = marks.groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("pairs"))
     runs = scratch.save(_send_runs(blocks.join(pairs, "block"), bits), "runs")
@@ -495,9 +491,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
     best = own.groupBy("rest").agg(F.min("doc").alias("doc"))
     hot = own.select("block", "rest").join(best, "rest").groupBy("block").agg(F.collect_list(F.struct("rest", "doc")).alias("hot"))
     ready = blocks.join(pairs, "block", "left").join(answers, "block", "left").join(hot, "block", "left")
-    out = _removed(ready, bits)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return out
+    return _removed(ready, bits)
 
 
 def repeat_digest(removed: DataFrame) -> DataFrame:
