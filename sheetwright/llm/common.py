@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,3 +153,30 @@ def save_bucketed(spark: SparkSession, df: DataFrame, scratch: Scratch, column:
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, as the path is given
     return table
+
+
+def whole_groups(batches, group: list[str]):
+    """Tables of whole groups, from batches sorted by the columns ``group``; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = [batch.column(batch.schema.get_field_index(c))[-1] for c in group]
+        if len(held) > 1 and all(held[0].column(held[0].schema.get_field_index(c))[-1] == v for c, v in zip(group, last, strict=True)) and all(batch.column(batch.schema.get_field_index(c))[0] == v for c, v in zip(group, last, strict=True)):
+            continue  # still the group that was held
+        table = pa.Table.from_batches(held)
+        inside = np.all([table.column(c).to_numpy() == v.as_py() for c, v in zip(group, last, strict=True)], axis=0)
+        cut = int(np.argmax(inside))
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(table: pa.Table, group: list[str]) -> list[tuple[int, int]]:
+    """[start, end) of each group of a sorted table."""
+    columns = [table.column(c).to_numpy() for c in group]
+    cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), table.num_rows], strict=True))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch, connected_components
+from sheetwright.llm.common import Scratch, connected_components, group_bounds, whole_groups
 
 SHINGLE = 5
 PERCENT = 75
@@ -229,35 +229,16 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame)
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = [rows.column(c).to_numpy() for c in (*group, "id", "component", "side")]
-            sig = _matrix(rows.column("sig"))
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
-            found_a, found_b = [], []
-            for a, b in zip([0, *cuts], [*cuts, len(sig)], strict=True):
+        for rows in whole_groups(batches, group):
+            kind, i, j, ids, component, side = (rows.column(c).to_numpy() for c in ("kind", "i", "j", "id", "component", "side"))
+            sig, found = _matrix(rows.column("sig")), []
+            for a, b in group_bounds(rows, group):
                 if b - a > 1:
-                    same = columns[1][a] == 1 and columns[2][a] == columns[3][a]
-                    x, y = pairs_in(columns[4][a:b], columns[5][a:b], sig[a:b], columns[6][a:b], same)
-                    found_a.append(x)
-                    found_b.append(y)
-            if found_a:
-                x, y = np.concatenate(found_a), np.concatenate(found_b)
+                    found.append(pairs_in(ids[a:b], component[a:b], sig[a:b], side[a:b], bool(kind[a] == 1 and i[a] == j[a])))
+            if found:
+                x, y = (np.concatenate(f) for f in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-        for batch in batches:  # a group may go on in the next batch
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            last = [rows.column(c)[-1].as_py() for c in group]
-            inside = np.all([rows.column(c).to_numpy() == v for c, v in zip(group, last, strict=True)], axis=0)
-            cut = int(np.argmax(inside))
-            if cut:
-                yield from close(rows.slice(0, cut))
-            held = rows.slice(cut).to_batches()
-        if held:
-            yield from close(pa.Table.from_batches(held))
-
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm import avi, markov, mixing, neardup, packing, quality, secrets, suffixes
+from sheetwright.llm import avi, markov, mixing, neardup, packing, pivots, quality, secrets, suffixes
 from sheetwright.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op5_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.score_documents(spark, documents(spark, sf_dir))
 
 
+def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digest(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op5_hidden_markov_lm, op7_avi_motion_jpeg, op8_hamming_near_dup, op9_suffix_merge_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op5_hidden_markov_lm, op6_pivot_permutation, op7_avi_motion_jpeg, op8_hamming_near_dup, op9_suffix_merge_dedup, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
