@@ -302,6 +302,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents, all columns kept, without those whose group has a smaller id."""
-    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """The documents, all columns kept, without those whose group has a smaller id.
+
+    Rows with an id and a text in common are one document, of which one row
+    stays.  Rows without an id always stay.
+    """
+    found = Scratch(spark, "groups").save(near_duplicates(spark, docs), "groups")
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    others = kept.join(repeated, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    return others.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"]))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm import avi, markov, mixing, neardup, packing, pivots, quality, secrets, suffixes
+from sheetwright.llm import avi, markov, mixing, neardup, packing, pivots, quality, secrets, suffixes, warc
 from sheetwright.llm.common import documents
 
 
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.revisit_digest(warc.resolve_revisits(spark, captures))
+
+
 def op2_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, documents(spark, sf_dir))
 
@@ -46,5 +51,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op5_hidden_markov_lm, op6_pivot_permutation, op7_avi_motion_jpeg, op8_hamming_near_dup, op9_suffix_merge_dedup, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_revisit_resolution, op2_minimum_bin_slack, op3_subword_quality, op4_weighted_mix, op5_hidden_markov_lm, op6_pivot_permutation, op7_avi_motion_jpeg, op8_hamming_near_dup, op9_suffix_merge_dedup, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op1_revisit_resolution": warc.ORACLE}
