@@ -37,6 +37,9 @@ COMPONENTS, WIDTH = 48, 4
 CHUNKS = COMPONENTS // WIDTH
 REACH = 2 * CHUNKS - 1
 BLOCK = 1024
+FAR = 255
+#: Ranges of the hash values whose least members are compared before full sets are.
+BINS = 256
 #: Ids up to this many (8 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 CHUNK_BYTES = 1 << 20
@@ -120,6 +123,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bin_minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A byte for each of BINS ranges of hash values: of the least member there, or 0 without one."""
+    out = np.zeros((len(sets), BINS), np.uint8)
+    starts = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+    for row, values in zip(out, sets, strict=True):
+        at = np.searchsorted(values, starts)
+        ends = np.append(at[1:], len(values))
+        full = at < ends
+        row[full] = values[at[full]] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def similar_bins(a: np.ndarray, b: np.ndarray, share: float = PERCENT / 100) -> np.ndarray:
+    """Whether the equal bins of each pair are within four deviations of ``share`` of those that either fills."""
+    used = ((a | b) > 0).sum(1)
+    equal = ((a == b) & (a > 0)).sum(1)
+    return equal >= share * used - 4 * np.sqrt(share * (1 - share) * used) - 1
+
+
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
     """CHUNKS * WIDTH keys of each signature row: the chunk, the component left out and the other three."""
     chunks = signature.reshape(len(signature), CHUNKS, WIDTH).astype(np.int64)
@@ -145,8 +167,8 @@ def _in_pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash and sig (null without words) of every row."""
-    names = ["doc_id", "n_shingles", "set_hash", "sig"]
+    """doc_id, n_shingles, set_hash, sig and bins (null without words) of every row."""
+    names = ["doc_id", "n_shingles", "set_hash", "sig", "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,10 +177,12 @@ def describe(docs: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full)) if full else iter(())
                 sig = [next(rows).tobytes() if len(s) else None for s in sets]
+                lows = iter(bin_minima(full))
+                bins = [next(lows).tobytes() if len(s) else None for s in sets]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bins, pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary, bins binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -194,8 +218,13 @@ def _nearest_leads(spark, members: DataFrame, entries: DataFrame) -> DataFrame:
     return near.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame) -> DataFrame:
-    """(a, b) within REACH, of one key but of different components.
+def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs within REACH, of one key but of different components.
+
+    With ``nearest``: (a, b), that many for each member of a block and one for
+    each id in the end.  Without: all, a row for each block pair that has any,
+    with ids, their components and pairs (places in ids, packed).  A pair is
+    listed under the first of its keys alone.
 
     In a key, the members of its lead's component meet the others, and the
     others meet each other, in blocks of about BLOCK rows dealt by a hash.
@@ -205,41 +234,133 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame)
     own = own.join(leads, "lead", "left").select("key", "id", "component", (F.col("component") == F.coalesce("_c", "lead")).alias("major"))
     stats = own.groupBy("key").agg(F.count_if("major").alias("n_major"), F.count_if(~F.col("major")).alias("n_minor")).where("n_minor > 0")
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    mixed = own.join(stats.select("key", blocks("n_major").alias("nb"), blocks("n_minor").alias("nm")), "key").join(entries.select("id", "sig"), "id")
+    mixed = own.join(stats.select("key", blocks("n_major").alias("nb"), blocks("n_minor").alias("nm")), "key").join(entries.select("id", "sig", "bins"), "id")
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    major = mixed.where("major").select("*", at("nb").alias("i")).select("key", "id", "component", "sig", F.lit(0).alias("side"), F.lit(0).alias("kind"), "i", F.explode(every("nm")).alias("j"))
+    major = mixed.where("major").select("*", at("nb").alias("i")).select("key", "id", "component", "sig", "bins", F.lit(0).alias("side"), F.lit(0).alias("kind"), "i", F.explode(every("nm")).alias("j"))
     minor = mixed.where("not major").select("*", at("nm").alias("me"))
-    against = minor.select("key", "id", "component", "sig", F.lit(1).alias("side"), F.lit(0).alias("kind"), F.explode(every("nb")).alias("i"), F.col("me").alias("j"))
-    among = minor.where("nm > 0").select("key", "id", "component", "sig", "me", F.explode(every("nm")).alias("o")).select("key", "id", "component", "sig", F.when(F.col("me") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"), F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"))
+    against = minor.select("key", "id", "component", "sig", "bins", F.lit(1).alias("side"), F.lit(0).alias("kind"), F.explode(every("nb")).alias("i"), F.col("me").alias("j"))
+    among = minor.where("nm > 0").select("key", "id", "component", "sig", "bins", "me", F.explode(every("nm")).alias("o")).select("key", "id", "component", "sig", "bins", F.when(F.col("me") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"), F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"))
     group = ["key", "kind", "i", "j"]
+    columns = ['grp', 'ids', 'components', 'pairs']
     dealt = major.unionByName(against).unionByName(among).repartition(*group).sortWithinPartitions(*group)
 
-    def pairs_in(ids, comp, sig, side, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_in(comp, sig, bins, side, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
-        a, b = [], []
+        distance = np.empty((len(left), len(right)), np.uint8)
         for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            close = (sig[rows][:, None, :] != sig[right][None, :, :]).sum(2) <= REACH
-            close &= comp[rows][:, None] != comp[right][None, :]
-            x, y = np.nonzero(close)
-            a.append(ids[rows[x]])
-            b.append(ids[right[y]])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+            distance[at : at + 64] = (sig[left[at : at + 64]][:, None, :] != sig[right][None, :, :]).sum(2)
+        distance[comp[left][:, None] == comp[right][None, :]] = FAR
+        x, y = np.nonzero(distance <= REACH)
+        if len(x):
+            alike = np.concatenate([similar_bins(bins[left[x[at : at + 4096]]], bins[right[y[at : at + 4096]]]) for at in range(0, len(x), 4096)])
+            x, y = x[alike], y[alike]
+        if nearest is not None and len(x) > nearest:
+            keep = np.zeros(len(x), bool)
+            far = distance[x, y]
+            for mine in (x, y):  # rank of each pair among those of its member
+                order = np.lexsort((far, mine))
+                first = np.concatenate([[0], np.flatnonzero(np.diff(mine[order])) + 1])
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+                keep[order[rank < nearest]] = True
+            x, y = x[keep], y[keep]
+        return left[x], right[y], distance[x, y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, group):
-            kind, i, j, ids, component, side = (rows.column(c).to_numpy() for c in ("kind", "i", "j", "id", "component", "side"))
-            sig, found = _matrix(rows.column("sig")), []
+            key, kind, i, j, ids, component, side = (rows.column(c).to_numpy() for c in ("key", "kind", "i", "j", "id", "component", "side"))
+            sig, bins, found = _matrix(rows.column("sig")), np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS), []
+            packed: list[list] = [[], [], [], []]
             for a, b in group_bounds(rows, group):
-                if b - a > 1:
-                    found.append(pairs_in(ids[a:b], component[a:b], sig[a:b], side[a:b], bool(kind[a] == 1 and i[a] == j[a])))
+                if b - a < 2:
+                    continue
+                x, y, far = pairs_in(component[a:b], sig[a:b], bins[a:b], side[a:b], bool(kind[a] == 1 and i[a] == j[a]))
+                if nearest is not None:
+                    found.append((ids[a:b][x], ids[a:b][y], far))
+                    continue
+                own = first_key(sig[a:b][x], sig[a:b][y]) == key[a] >> 48
+                if own.any():
+                    used, places = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+                    values = (hash((int(key[a]), int(kind[a]), int(i[a]), int(j[a]))), ids[a:b][used].tolist(), component[a:b][used].tolist(), places.astype(np.int32).tobytes())
+                    for column, value in zip(packed, values, strict=True):
+                        column.append(value)
+            if packed[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int64()), pa.array(packed[1], pa.list_(pa.int64())), pa.array(packed[2], pa.list_(pa.int64())), pa.array(packed[3], pa.binary())], columns)
             if found:
-                x, y = (np.concatenate(f) for f in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                x, y, far = (np.concatenate(f) for f in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far.astype(np.int32))], ["a", "b", "distance"])
+
+    if nearest is None:
+        return dealt.mapInArrow(run, "grp long, ids array<long>, components array<long>, pairs binary")
+    pairs = dealt.mapInArrow(run, "a long, b long, distance int").where("a <> b")
+    # Each id keeps its nearest partner of all its keys.
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "distance").select("e.*", "distance")
+    best = ends.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The leading part of the first key that each pair of signatures shares (of those that share one)."""
+    equal = (a == b).reshape(len(a), CHUNKS, WIDTH)
+    chunk = (equal.sum(2) >= WIDTH - 1).argmax(1)
+    left_out = (~equal[np.arange(len(a)), chunk]).argmax(1)
+    return chunk * WIDTH + left_out
+
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def similar(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(p) or not len(q) or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _confirm_packed(docs: DataFrame, packed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join the components of each block pair, confirmed on full sets.
+
+    The sets of a row's ids are brought to it; a pair whose components are
+    joined by then needs no look, so a row gives fewer links than it has ids.
+    """
+    ids = scratch.save(packed.select(F.explode("ids").alias("id")).distinct(), "ids")
+    sets = scratch.save(_sets_of(docs, ids), "sets")
+    needed = packed.select("grp", F.explode("ids").alias("id")).join(sets, "id").select("grp", F.lit(1).alias("tag"), "id", "set", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("components"), F.lit(None).cast("binary").alias("pairs"))
+    heads = packed.select("grp", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("set"), "ids", "components", "pairs")
+    rows = heads.unionByName(needed).repartition("grp").sortWithinPartitions("grp", "tag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["grp"]):
+            tags = table.column("tag").to_numpy()
+            out_a, out_b = [], []
+            for a, b in group_bounds(table, ["grp"]):
+                n = int((tags[a:b] == 0).sum())
+                have: dict[int, list[np.ndarray]] = {}
+                for key, data in zip(table.column("id").slice(a + n, b - a - n).to_pylist(), table.column("set").slice(a + n, b - a - n).to_pylist(), strict=True):
+                    have.setdefault(key, []).append(np.frombuffer(data, np.uint64))
+                for head in range(a, a + n):
+                    keys, parts = table.column("ids")[head].as_py(), table.column("components")[head].as_py()
+                    root = {c: c for c in parts}
+
+                    def top(c: int, root: dict[int, int] = root) -> int:
+                        while root[c] != c:
+                            root[c] = c = root[root[c]]
+                        return c
+
+                    pairs = np.frombuffer(table.column("pairs")[head].as_py(), np.int32).reshape(2, -1)
+                    for x, y in pairs.T.tolist():
+                        p, q = top(parts[x]), top(parts[y])
+                        if p != q and any(similar(s, t) for s in have[keys[x]] for t in have[keys[y]]):
+                            root[max(p, q)] = min(p, q)
+                            out_a.append(keys[x])
+                            out_b.append(keys[y])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    links = scratch.save(rows.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(sets)
+    scratch.drop(ids)
+    return links
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -255,20 +376,14 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, set binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = scratch.save(_sets_of(docs, ids), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared) and len(p) > 0 and len(q) > 0)
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -283,18 +398,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
     described = scratch.save(describe(docs), "described")
-    entries = scratch.save(described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "entries")
+    entries = scratch.save(described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("bins").alias("bins")), "entries")
     posted = scratch.save(postings(entries), "postings")
     shared = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     members = scratch.save(posted.join(shared, "key"), "members")
     scratch.drop(posted)
-    pairs = scratch.save(_nearest_leads(spark, members, entries), "leads")
-    links = confirm(docs, pairs, scratch)
-    first = scratch.save(connected_components(spark, links, scratch), "first")
-    cross = scratch.save(_cross_pairs(members, first, entries).join(links, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        more = confirm(docs, cross, scratch)
-        first = scratch.save(connected_components(spark, links.unionByName(more), scratch), "components")
+    tested = scratch.save(_nearest_leads(spark, members, entries), "leads")
+    links = confirm(docs, tested, scratch)
+    first = scratch.save(connected_components(spark, links, scratch), "components")
+    for nearest in (1, None):
+        cross = _cross_pairs(members, first, entries, nearest)
+        cross = scratch.save(cross.join(tested, ["a", "b"], "left_anti") if nearest else cross, "cross")
+        if cross.isEmpty():
+            continue
+        more = confirm(docs, cross, scratch) if nearest else _confirm_packed(docs, cross, scratch)
+        known = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        first = scratch.save(connected_components(spark, known.unionByName(more), scratch), "components")
     found = entries.select("set_hash", "id").join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     rows = described.join(found, "set_hash", "left")
     component = F.coalesce("component", "doc_id")
