@@ -1,0 +1 @@
+"""Verification of form data at scale, as DataFrame and SQL plans."""
