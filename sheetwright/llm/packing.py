@@ -51,6 +51,14 @@ class _Chunks(dict):
         return n
 
 
+def _gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ..., ``counts[i]`` of them for each i in turn."""
+    ends = np.cumsum(counts)
+    places = np.repeat(starts - ends + counts, counts)
+    places += np.arange(len(places))
+    return places
+
+
 class ChunkTokenizer:
     """Ids of whole texts, tokenising each distinct blank-separated chunk once.
 
@@ -60,6 +68,9 @@ class ChunkTokenizer:
     """
 
     MAX_CHUNKS, MAX_CHARS = 600_000, 24_000_000
+    #: A chunk of one token that stands between the chunks learned at once; those that hold it are learned singly.
+    MARK = "\U0001f602"
+    AT_ONCE = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,42 +78,71 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._clear()
-
-    def _clear(self) -> None:
+        self.mark = self._ids(self.MARK)
         self.chunks = _Chunks()
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.starts, self.counts, self.hits = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.uint32)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _shrink(self) -> None:
+        """Keep the chunks met most often, half of the room at most."""
+        least = 2
+        while np.count_nonzero(self.hits >= least) > self.MAX_CHUNKS // 2:
+            least *= 2
+        before, self.chunks, kept = self.chunks, _Chunks(), []
+        for n, (word, hits) in enumerate(zip(before, self.hits.tolist(), strict=True)):
+            if hits >= least and self.chunks.chars + len(word) <= self.MAX_CHARS // 2:
+                self.chunks[word]
+                kept.append(n)
+        self.chunks.new = []
+        counts = self.counts[kept]
+        self.flat = self.flat[_gathered(self.starts[kept], counts)]
+        self.starts, self.counts, self.hits = np.cumsum(counts) - counts, counts, self.hits[kept]
+
     def _learn(self) -> None:
-        if not self.chunks.new:
+        new = self.chunks.new
+        if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.chunks.new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+        flat: list[np.ndarray] = []
+        counts = np.zeros(len(new), np.int64)
+        plain = len(self.mark) == 1
+        at = 0
+        while at < len(new):
+            upto = at
+            while plain and upto < min(len(new), at + self.AT_ONCE) and self.MARK not in new[upto]:
+                upto += 1
+            if upto - at > 1:
+                ids = np.array(self._ids(f" {self.MARK} ".join(new[at:upto])), np.uint32)
+                cuts = np.flatnonzero(ids == self.mark[0])
+                counts[at:upto] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                flat.append(ids[ids != self.mark[0]])
+            else:
+                upto = at + 1
+                flat.append(np.array(self._ids(new[at]), np.uint32))
+                counts[at] = len(flat[-1])
+            at = upto
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, *flat])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.chunks.new = []
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 2000):
             part = texts[at : at + 2000]
             if len(self.chunks) > self.MAX_CHUNKS or self.chunks.chars > self.MAX_CHARS:
-                self._clear()
+                self._shrink()
             number = self.chunks.__getitem__
             rows = []
             for text in part:
                 words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
                 rows.append(np.fromiter(map(number, words), np.int64, len(words)))
             self._learn()
+            self.hits += np.bincount(np.concatenate(rows), minlength=len(self.hits))
             for row in rows:
-                counts = self.counts[row]
-                ends = np.cumsum(counts)
-                places = np.repeat(self.starts[row] - ends + counts, counts)
-                places += np.arange(len(places))
-                yield self.flat[places]
+                yield self.flat[_gathered(self.starts[row], self.counts[row])]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -209,7 +249,7 @@ def pack(spark: SparkSession, pieces: DataFrame, scratch: Scratch, capacity: int
     places = _places(plan_bins(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    ranked = kept.join(offsets, ["task", "length"]).select(*kept.columns, (F.col("_first") + F.col("nth")).alias("_rank"))
+    ranked = kept.join(offsets.hint("merge"), ["task", "length"]).select(*kept.columns, (F.col("_first") + F.col("nth")).alias("_rank"))
     keep = [c for c in kept.columns if c not in ("task", "nth")]
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", sequence_id long, offset long"
 
