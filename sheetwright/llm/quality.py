@@ -123,7 +123,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
         shift = np.log((truth.sum() + 0.5) / (len(truth) - truth.sum() + 0.5))
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias - float(shift)])], ["model", "bias"])
 
-    got = sample.coalesce(1).mapInArrow(learn, "model binary, bias double").collect()
+    got = sample.repartition(1).mapInArrow(learn, "model binary, bias double").collect()
     if not got:
         return none, prior
     return np.frombuffer(got[0]["model"], np.float32), got[0]["bias"] + prior
