@@ -261,3 +261,72 @@ def coverage(mask: np.ndarray | None, box: tuple[int, int, int, int]) -> float:
         return 1.0
     part = mask[box[1] : box[3], box[0] : box[2]]
     return float((part > 0).mean()) if part.size else 0.0
+
+
+def paper_quad(image: np.ndarray, least: float = 0.30, most: float = 0.985) -> tuple[np.ndarray | None, float]:
+    """(corners, share of the area) of the largest bright or dark part; no corners if the share is out of range."""
+    best, share = None, 0.0
+    bright = image > otsu(image)
+    for mask in (bright, ~bright):
+        labels = components(dilate(erode(mask, 3, 3), 3, 3))
+        sizes = np.bincount(labels.reshape(-1))
+        sizes[0] = 0
+        if sizes.max(initial=0) / image.size > share:
+            share = float(sizes.max() / image.size)
+            ys, xs = np.nonzero(labels == sizes.argmax())
+            best = order_corners(np.stack([xs, ys], 1).astype(float))
+    return (best if least <= share <= most else None), share
+
+
+def straightened(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The page in a photo, brought to the template's size; the photo itself if no page is found."""
+    corners, _ = paper_quad(image)
+    if corners is None:
+        return image
+    h, w = shape
+    return warp(image, homography(corners, np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)), shape)
+
+
+def enhanced(image: np.ndarray, radius: int = 31) -> np.ndarray:
+    """An unevenly lit or flat scan with its background divided out, blended with the original; others as they are."""
+    if not needs_enhancement(image):
+        return image
+    pad = np.pad(image.astype(np.float64), radius, mode="edge")
+    background = window_sum(pad, 2 * radius + 1, 2 * radius + 1) / (2 * radius + 1) ** 2
+    flat = np.clip(image / np.maximum(background, 1) * 255, 0, 255)
+    return np.rint(0.65 * flat + 0.35 * image).astype(np.uint8)
+
+
+def free_rows_below(template: np.ndarray, box: tuple[int, int, int, int], most: int) -> int:
+    """Rows below a box that are blank on the template (5 % dark pixels at most), less two."""
+    below = template[box[3] : box[3] + most, box[0] : box[2]]
+    if not below.size:
+        return 0
+    printed = np.flatnonzero((below < 200).mean(1) > 0.05)
+    return max(0, int(printed[0] if len(printed) else len(below)) - 2)
+
+
+def row_bands(mask: np.ndarray, gap: int = C.BAND_GAP) -> list[tuple[int, int]]:
+    """[start, end) of runs of inked rows no more than ``gap`` apart."""
+    rows = np.flatnonzero(mask.any(1))
+    cuts = np.flatnonzero(np.diff(rows) > gap)
+    return [] if not len(rows) else [(int(rows[a]), int(rows[b - 1]) + 1) for a, b in zip([0, *(cuts + 1)], [*(cuts + 1), len(rows)], strict=True)]
+
+
+def handwriting_crop(template: np.ndarray, page: np.ndarray, box: tuple[int, int, int, int], left_limit: int = 0, pad: float = 0.20) -> tuple[int, int, int, int] | None:
+    """A tight box around what was written in ``box``: at most two bands of ink near each other, padded; None if there is hardly any."""
+    x1, y1, x2, y2 = box
+    wide = int(0.35 * (y2 - y1))
+    x1, x2 = max(left_limit, 0, x1 - wide), min(page.shape[1], x2 + wide)
+    y2 = min(page.shape[0], y2 + free_rows_below(template, (x1, y1, x2, y2), y2 - y1))
+    mask = without_lines(difference_mask(template[y1:y2, x1:x2], page[y1:y2, x1:x2]))
+    if not mask.size or mask.mean() < BLANK_MIN:
+        return None
+    bands = row_bands(mask)
+    keep = bands[:1]
+    if len(bands) > 1 and bands[1][0] - bands[0][1] <= 0.9 * (bands[0][1] - bands[0][0]):
+        keep = bands[:2]
+    top, bottom = keep[0][0], keep[-1][1]
+    columns = np.flatnonzero(mask[top:bottom].any(0))
+    more = int(pad * (bottom - top)) + 1
+    return (max(0, x1 + int(columns[0]) - more), max(0, y1 + top - more), min(page.shape[1], x1 + int(columns[-1]) + 1 + more), min(page.shape[0], y1 + bottom + more))

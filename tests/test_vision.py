@@ -102,3 +102,42 @@ def test_backend_contract(spark, page):
     crops = spark.createDataFrame([(1, bytearray(png(page)), bytearray(png(255 - page)), 1.0), (2, None, None, 0.2)], "doc int, template binary, filled binary, covered double")
     marks = {r["doc"]: r for r in backends.option_marks(crops, F.col("covered")).collect()}
     assert marks[1]["score"] > 0.1 and marks[2]["out_of_frame"] and marks[2]["score"] is None
+
+
+def test_paper_and_straightening():
+    photo = np.full((100, 140), 40, np.uint8)
+    photo[10:90, 20:120] = 230
+    corners, share = kernels.paper_quad(photo)
+    assert 0.5 < share < 0.6 and np.abs(corners - [[20, 10], [119, 10], [119, 89], [20, 89]]).max() <= 3
+    assert kernels.straightened(photo, (50, 60)).mean() > 200
+    assert kernels.paper_quad(np.full((20, 20), 9, np.uint8))[0] is None
+    assert (kernels.enhanced(photo) == photo).all() and (kernels.enhanced(photo // 4 + 60) != photo // 4 + 60).any()
+
+
+def test_handwriting_crop():
+    template = np.full((100, 200), 255, np.uint8)
+    template[70, :] = 0
+    page = template.copy()
+    page[32:40, 60:90] = 0
+    x1, y1, x2, y2 = kernels.handwriting_crop(template, page, (40, 25, 160, 45))
+    assert x1 <= 60 < 90 <= x2 and y1 <= 32 < 40 <= y2 and x2 - x1 < 60
+    assert kernels.handwriting_crop(template, template, (40, 25, 160, 45)) is None
+    assert kernels.free_rows_below(template, (0, 10, 50, 40), 60) == 28
+    assert kernels.row_bands(np.isin(np.arange(11), [0, 3, 10])[:, None]) == [(0, 4), (10, 11)]
+
+
+def test_alignment_choices(spark):
+    from sheetwright.operators import align
+
+    rows = [(1, "affine", "ok", 0.5, 40), (1, "homography", "ok", 0.6, 40), (2, "affine", "ok", 0.5, 40), (2, "homography", "ok", 0.7, 9), (3, "homography", "warning", 0.2, 5), (4, "affine", "warning", 0.4, 20), (4, "homography", "warning", 0.9, 20)]
+    got = {r["doc"]: r["method"] for r in align.pick_method(spark.createDataFrame(rows, "doc int, method string, status string, ratio double, matches int"), ["doc"]).collect()}
+    assert got == {1: "affine", 2: "homography", 3: "homography", 4: "affine"}
+    images = [(1, "raw", "ok", 0.5, 9), (1, "straight", "ok", 0.5, 9), (2, "raw", "warning", 0.9, 9), (2, "straight", "ok", 0.1, 1)]
+    got = {r["doc"]: r["image"] for r in align.pick_image(spark.createDataFrame(images, "doc int, image string, status string, ratio double, matches int"), ["doc"]).collect()}
+    assert got == {1: "raw", 2: "straight"}
+    quad = lambda *p: spark.range(1).select(align.sane_corners([(F.lit(float(x)), F.lit(float(y))) for x, y in p], F.lit(100.0), F.lit(140.0))).first()[0]
+    assert quad((0, 0), (100, 5), (98, 140), (2, 135)) and not quad((100, 0), (0, 0), (0, 140), (100, 140)) and not quad((0, 0), (10, 0), (10, 140), (0, 140)) and not quad((0, 0), (100, 0), (20, 20), (0, 140))
+    anchors = [(1, "s", float(x), float(y), 3.0, -2.0, 0.9) for x, y in ((0, 0), (50, 0), (0, 40), (60, 60))] + [(1, "s", 9.0, 9.0, 90.0, 90.0, 0.9), (2, "s", 0.0, 0.0, 4.0, 1.0, 0.9), (3, "s", 0.0, 0.0, 4.0, 1.0, 0.1)]
+    out = {r["doc_id"]: r for r in align.section_transforms(spark.createDataFrame(anchors, "doc_id long, section string, x double, y double, dx double, dy double, score double"), 500.0).collect()}
+    assert out[1]["method"] == "section_affine" and abs(out[1]["tx"] - 3) < 1e-6 and out[1]["n"] == 4
+    assert (out[2]["method"], out[2]["tx"], out[3]["method"]) == ("consensus_translation", 4.0, "none")
