@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sheetwright.llm.common import short_batches
+
 UNIT = 64
 WIDTH = 64  # samples in a row of a frame
 ROWS = 64  # rows in a full frame
@@ -401,7 +403,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = batch.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([store(payload_of(t)[1]) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+    return short_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
@@ -425,4 +427,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return short_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -52,6 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark.range(0))
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
@@ -75,6 +77,29 @@ class Scratch:
         _delete(self.spark, df.scratch_path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+#: Rows and bytes of a batch between Spark and Python at most: texts are thousands of bytes on average, and some far longer.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to these; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

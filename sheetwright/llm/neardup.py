@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch, connected_components, group_bounds, whole_groups
+from sheetwright.llm.common import Scratch, connected_components, group_bounds, release_memory, whole_groups
 
 SHINGLE = 5
 PERCENT = 75
@@ -181,6 +181,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 bins = [next(lows).tobytes() if len(s) else None for s in sets]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bins, pa.binary())], names)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary, bins binary")
 
@@ -370,6 +371,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for at, part in _in_pieces(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in shingle_sets(part)], pa.binary())], ["id", "set"])
+        release_memory()
 
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")

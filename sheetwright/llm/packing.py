@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetwright.llm.common import Scratch
+from sheetwright.llm.common import Scratch, release_memory, short_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -67,7 +67,7 @@ class ChunkTokenizer:
     line ends split here; any other space stays inside its chunk.
     """
 
-    MAX_CHUNKS, MAX_CHARS = 600_000, 24_000_000
+    MAX_CHUNKS, MAX_CHARS = 300_000, 12_000_000
     #: A chunk of one token that stands between the chunks learned at once; those that hold it are learned singly.
     MARK = "\U0001f602"
     AT_ONCE = 500
@@ -86,14 +86,14 @@ class ChunkTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _shrink(self) -> None:
-        """Keep the chunks met most often, half of the room at most."""
+    def shrink(self, parts: int = 2) -> None:
+        """Keep the chunks met most often, in one of ``parts`` of the room at most."""
         least = 2
-        while np.count_nonzero(self.hits >= least) > self.MAX_CHUNKS // 2:
+        while np.count_nonzero(self.hits >= least) > self.MAX_CHUNKS // parts:
             least *= 2
         before, self.chunks, kept = self.chunks, _Chunks(), []
         for n, (word, hits) in enumerate(zip(before, self.hits.tolist(), strict=True)):
-            if hits >= least and self.chunks.chars + len(word) <= self.MAX_CHARS // 2:
+            if hits >= least and self.chunks.chars + len(word) <= self.MAX_CHARS // parts:
                 self.chunks[word]
                 kept.append(n)
         self.chunks.new = []
@@ -133,7 +133,7 @@ class ChunkTokenizer:
         for at in range(0, len(texts), 2000):
             part = texts[at : at + 2000]
             if len(self.chunks) > self.MAX_CHUNKS or self.chunks.chars > self.MAX_CHARS:
-                self._shrink()
+                self.shrink()
             number = self.chunks.__getitem__
             rows = []
             for text in part:
@@ -177,8 +177,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     seen[n] += 1
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names)
+        encoder.shrink(6)  # the worker may serve other stages next
+        release_memory()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return short_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def fullest(lengths: dict[int, int], space: int) -> dict[int, int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch, crc_bucket
+from sheetwright.llm.common import Scratch, crc_bucket, release_memory, short_batches
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -30,7 +30,7 @@ EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.7
 #: Texts are read in pieces of about so many bytes; each piece holds whole texts.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -80,7 +80,7 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = DIM, epochs: int =
     docs = []
     for text in texts:
         unique, counts = np.unique(features([text])[0], return_counts=True)
-        docs.append((unique, (counts / max(1, counts.sum()))[:, None]))
+        docs.append((unique.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)[:, None]))
     steps, done = epochs * max(1, len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -120,6 +120,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
             return
         truth = np.array([r[2] for r in rows])
         table, bias = train([r[1].encode() for r in rows], truth)
+        del rows
+        release_memory()
         shift = np.log((truth.sum() + 0.5) / (len(truth) - truth.sum() + 0.5))
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias - float(shift)])], ["model", "bias"])
 
@@ -152,8 +154,9 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1).to_pylist(), table, bias))], [id_col, "score"])
+        release_memory()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return short_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def keep_quality(docs: DataFrame, table: np.ndarray, bias: float, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -163,8 +166,9 @@ def keep_quality(docs: DataFrame, table: np.ndarray, bias: float, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(batch.column(at).to_pylist(), table, bias) >= threshold))
+        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[np.ndarray, float]:
@@ -175,4 +179,4 @@ def fit_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[np.n
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = score(docs, *fit_quality(spark, docs, sf_dir))
-    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

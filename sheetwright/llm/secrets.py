@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwright.llm.common import release_memory, short_batches
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "openssh", "jwt")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -185,7 +187,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW_SPANS)], [id_field.name, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_field.dataType.simpleString()}, spans {SPAN_TYPE}")
+    return short_batches(docs).select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {id_field.dataType.simpleString()}, spans {SPAN_TYPE}")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -196,8 +198,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = pa.array([redact(t, find_spans(t)) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
+        release_memory()
 
-    return docs.mapInArrow(clean, docs.schema)
+    return short_batches(docs).mapInArrow(clean, docs.schema)
 
 
 def _listed(spans):
