@@ -430,7 +430,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     found = Scratch(spark, "groups").save(near_duplicates(spark, docs), "groups")
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    few = gone.count() <= BROADCAST_IDS  # then the texts need not move
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
