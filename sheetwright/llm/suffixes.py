@@ -30,7 +30,6 @@ Texts shorter than LENGTH bytes lose nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +38,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch, save_bucketed
+from sheetwright.llm.common import Scratch, release_memory, save_bucketed
 
 LENGTH = 50
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # anchors that a string of LENGTH bytes can choose from
-BLOCK_BYTES = 8 << 20
-HOT_BLOCKS = 256
+#: A block is a row; rows of many megabytes are hard on the executors' heaps.
+BLOCK_BYTES = 1 << 20
+#: Text behind a bucket file of blocks, and behind a range of the exchange.
+BUCKET_BYTES = RANGE_BYTES = 16 << 20
+PIECE_BYTES = 1 << 18
+#: Bytes of a sort key at most, filled up to whole words: LENGTH + WINDOW - 1 of text and a length.
+KEY = -(-(LENGTH + WINDOW) // 8) * 8
+HOT_BLOCKS = 2048
 LATEST = (1 << 63) - 1
+#: Stands for the least document of a key whose windows have different ones.
+MIXED = -(1 << 63)
 _MULTIPLIERS = tuple(np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -65,41 +72,72 @@ def gram_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes at each position."""
     n = len(data) - GRAM + 1
     words = np.ndarray((len(data) - 7,), np.uint64, buffer=data, strides=(1,))
-    h = np.zeros(n, np.uint64)
-    for i, m in enumerate(_MULTIPLIERS):
-        h ^= words[8 * i : 8 * i + n]
-        h *= m
-        h ^= h >> np.uint64(29)
+    h = words[:n] * _MULTIPLIERS[0]
+    product = np.empty_like(h)
+    for i, m in enumerate(_MULTIPLIERS[1:], 1):
+        np.multiply(words[8 * i : 8 * i + n], m, out=product)
+        h += product
+    np.right_shift(h, np.uint64(32), out=product)
+    h ^= product
+    h *= _MULTIPLIERS[0]
     return h
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first window, last window) of each anchor of one text, in order.
+def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first window, last window) of each anchor of the texts that ``data`` joins, in order.
 
-    Every window start belongs to the anchor nearest to its left end among
-    those of the least hash, so the window ranges cut the text's windows.
+    A window start belongs to the leftmost of the positions with the least hash
+    in its reach.  Windows that leave their text do not exist.
     """
+    none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return none, none.astype(np.uint64), none, none
     h = gram_hashes(data)
     least = _slide(h, WINDOW, np.minimum)
-    # The leftmost position of the least hash: the last one before it that is an occurrence, at or after the window's start.
-    n = len(least)
-    at = np.full(n, -1, np.int64)
-    for shift in range(WINDOW - 1, -1, -1):
-        hit = h[shift : shift + n] == least
-        at[hit] = shift
-    at += np.arange(n)
-    firsts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    lasts = np.concatenate([firsts[1:] - 1, [n - 1]])
-    positions = at[firsts]
-    return positions, h[positions], firsts, lasts
+    ends = np.cumsum(sizes)
+    change = np.zeros(len(data) + 1, np.int8)
+    # Texts of LENGTH bytes and more have windows from their start to LENGTH before their end.
+    long = sizes >= LENGTH
+    np.add.at(change, (ends - sizes)[long], 1)
+    np.add.at(change, ends[long] - LENGTH + 1, -1)
+    starts = np.flatnonzero(np.cumsum(change[: len(least)], dtype=np.int8) > 0)
+    # Candidates are positions that are the least of some window; each window takes the first that equals its own least.
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    candidate = _slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == h
+    chosen = np.flatnonzero(candidate)
+    at = (np.cumsum(candidate, dtype=np.int32) - candidate)[starts]  # the first candidate at or after each start
+    wanted, hashes = least[starts], h[chosen]
+    open_ = np.flatnonzero(hashes[at] != wanted)
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[hashes[at[open_]] != wanted[open_]]
+    if not len(starts):
+        return none, none.astype(np.uint64), none, none
+    # Between the windows of two texts there is a gap.
+    first = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1])
+    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
+    position = chosen[at[first]]
+    return position, h[position], starts[first], starts[last]
+
 
+def suffix_keys(data: np.ndarray, position: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort keys (rows of KEY bytes, filled up with zeros) and their lengths.
 
-def suffix_of(data: bytes, position: int, first: int, last: int) -> bytes:
-    """The sort key of an anchor: the suffix at it as far as its windows reach, then the bytes before it backwards, then the length of the former."""
-    right = data[position : last + LENGTH]
-    return right + data[first:position][::-1] + bytes([len(right)])
+    A key is the suffix at an anchor as far as its windows reach, then the
+    bytes before it backwards as far, then the length of the former.
+    """
+    keys = np.zeros((len(position), KEY), np.uint8)
+    sizes = last + LENGTH - first + 1
+    column = np.arange(KEY, dtype=np.int32)
+    for at in range(0, len(position), 1 << 14):
+        p, f, e = (x[at : at + (1 << 14)].astype(np.int64) for x in (position, first, last))
+        right, size = (e + LENGTH - p)[:, None], (e + LENGTH - f)[:, None]
+        offset = np.where(column < right, column, right - 1 - column)
+        part = data[np.clip(p[:, None] + offset, 0, len(data) - 1)]
+        part[column >= size] = 0
+        part[np.arange(len(p)), size[:, 0]] = right[:, 0]
+        keys[at : at + len(p)] = part
+    return keys, sizes
 
 
 def windows_of(key: bytes) -> list[tuple[int, bytes]]:
@@ -120,15 +158,14 @@ def shared(a: bytes, b: bytes, start: int) -> int:
     return start
 
 
-def front_code(keys: list[bytes]) -> tuple[bytes, bytes]:
-    """(per key the shared and the remaining length, the remaining bytes) of sorted ``keys``."""
-    sizes, rest, before = bytearray(), [], b""
-    for key in keys:
-        n = shared(before, key, 0)
-        sizes += bytes((n, len(key) - n))
-        rest.append(key[n:])
-        before = key
-    return bytes(sizes), b"".join(rest)
+def front_code(keys: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """(per key the shared and the remaining length, the remaining bytes) of sorted distinct ``keys``."""
+    lcp = np.zeros(len(keys), np.int64)
+    if len(keys) > 1:
+        lcp[1:] = np.minimum((keys[1:] != keys[:-1]).argmax(1), np.minimum(sizes[1:], sizes[:-1]))
+    column = np.arange(keys.shape[1])
+    rest = keys[(column >= lcp[:, None]) & (column < sizes[:, None])]
+    return np.stack([lcp, sizes - lcp], 1).astype(np.uint8).tobytes(), rest.tobytes()
 
 
 def unfold(sizes: bytes, rest: bytes) -> tuple[list[bytes], list[int]]:
@@ -203,53 +240,70 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[byte
 
 
 class Block:
-    """The documents of a block: ids, texts and anchors."""
+    """The documents of a block: ids, places and anchors."""
 
     def __init__(self, ids: bytes, sizes: bytes, blob: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
-        ends = np.cumsum(np.frombuffer(sizes, np.int64))
-        self.texts = [blob[e - n : e] for e, n in zip(ends.tolist(), np.frombuffer(sizes, np.int64).tolist(), strict=True)]
-        found = [anchors(t) for t in self.texts]
-        self.owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        self.position, self.hash, self.first, self.last = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
-        self.keys, self.inverse = np.unique(self.hash.astype(np.uint64), return_inverse=True)
+        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        self.ends, self.blob = np.cumsum(self.sizes), blob
+        self.data = np.frombuffer(blob, np.uint8)
+        found, at = [], 0
+        while at < len(self.sizes):  # some texts at a time, to hold few rows of eight bytes a byte
+            begin = int(self.ends[at] - self.sizes[at])
+            upto = max(at + 1, int(np.searchsorted(self.ends, begin + PIECE_BYTES, "right")))
+            part = anchors(blob[begin : int(self.ends[upto - 1])], self.sizes[at:upto])
+            found.append((part[0] + begin, part[1], part[2] + begin, part[3] + begin))
+            at = upto
+        self.position, self.hash, self.first, self.last = (np.concatenate([f[i] for f in found]) for i in range(4))
+        self.hash = _spread(self.hash)
+        self.owner = np.searchsorted(self.ends, self.first, "right")
+        self.keys, self.inverse = np.unique(self.hash, return_inverse=True)
 
     def several(self) -> np.ndarray:
         """Of each distinct hash, whether several documents of the block have it."""
-        owner_ids = self.ids[self.owner] if len(self.owner) else np.zeros(0, np.int64)
+        owner_ids = self.ids[self.owner]
         low, high = np.full(len(self.keys), LATEST, np.int64), np.full(len(self.keys), -LATEST, np.int64)
         np.minimum.at(low, self.inverse, owner_ids)
         np.maximum.at(high, self.inverse, owner_ids)
         return low < high
 
-    def suffixes(self, marks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Anchors (their numbers) whose hash is marked 1, and their sort keys."""
-        chosen = np.flatnonzero(marks[self.inverse] == 1)
-        rows = zip(self.owner[chosen].tolist(), self.position[chosen].tolist(), self.first[chosen].tolist(), self.last[chosen].tolist(), strict=True)
-        return chosen, [suffix_of(self.texts[o], p, a, b) for o, p, a, b in rows]
-
-    def runs(self, marks: np.ndarray, bits: int) -> dict[int, tuple[list[bytes], list[int]]]:
-        """By range: sorted distinct keys and the least document of each."""
-        chosen, keys = self.suffixes(marks)
-        least: dict[bytes, int] = {}
-        where: dict[bytes, int] = {}
-        for key, doc, part in zip(keys, self.ids[self.owner[chosen]].tolist(), _range_of(self.hash[chosen], bits).tolist(), strict=True):
-            if least.setdefault(key, doc) > doc:
-                least[key] = doc
-            where[key] = part
-        found: dict[int, tuple[list[bytes], list[int]]] = {}
-        for key in sorted(least):
-            run = found.setdefault(where[key], ([], []))
-            run[0].append(key)
-            run[1].append(least[key])
-        return found
+    def marked(self, marks: np.ndarray, mark: int) -> np.ndarray:
+        """Numbers of the anchors whose hash has ``mark``."""
+        return np.flatnonzero(marks[self.inverse] == mark)
+
+    def runs(self, marks: np.ndarray, bits: int) -> tuple[list[tuple[int, bytes, bytes, bytes]], np.ndarray]:
+        """(range, sizes, rest, docs) of the front-coded sorted distinct keys of the anchors marked 1, and for each of
+        those anchors the place of its key among all keys in order of range and key."""
+        chosen = self.marked(marks, 1)
+        if not len(chosen):
+            return [], chosen
+        keys, sizes = suffix_keys(self.data, self.position[chosen], self.first[chosen], self.last[chosen])
+        part = _range_of(self.hash[chosen], bits)
+        words = keys.view(">u8").astype(np.uint64)
+        order = np.lexsort([*words.T[::-1], part])
+        sorted_words = words[order]
+        new = np.concatenate([[True], (sorted_words[1:] != sorted_words[:-1]).any(1)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        least = np.full(int(new.sum()), LATEST, np.int64)
+        np.minimum.at(least, place, self.ids[self.owner[chosen]])
+        distinct = order[new]
+        keys, sizes, part = keys[distinct], sizes[distinct], part[distinct]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        return [(int(part[a]), *front_code(keys[a:b], sizes[a:b]), least[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], place
 
     def hot_windows(self, marks: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """(document number, window start, string) of the windows whose anchor is marked 2."""
-        for i in np.flatnonzero(marks[self.inverse] == 2).tolist():
-            text = self.texts[self.owner[i]]
+        """(document number, window start in the block, string) of the windows whose anchor is marked 2."""
+        for i in self.marked(marks, 2).tolist():
+            owner = int(self.owner[i])
             for s in range(int(self.first[i]), int(self.last[i]) + 1):
-                yield int(self.owner[i]), s, text[s : s + LENGTH]
+                yield owner, s, self.blob[s : s + LENGTH]
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """A one-to-one image of the hashes with even leading bits; those of anchors are least of many, hence small."""
+    h = hashes.astype(np.uint64) * _MULTIPLIERS[1]
+    h ^= h >> np.uint64(32)
+    return h * _MULTIPLIERS[3]
 
 
 def _range_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -293,7 +347,7 @@ def _anchor_ranges(blocks: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, *parts in _one_by_one(batch):
                 block = Block(*parts)
                 several = block.several().astype(np.uint8)
                 ranges = _range_of(block.keys, bits)
@@ -318,6 +372,7 @@ def _mark_anchors(ranges: DataFrame, hot_blocks: int) -> DataFrame:
         level = np.where(counts > hot_blocks, 2, (counts > 1) | (any_several > 0)).astype(np.uint8)[inverse]
         ends = np.cumsum([len(p) for p in parts])
         marks = [level[e - len(p) : e].tobytes() for e, p in zip(ends, parts, strict=True)]
+        release_memory()
         return pa.Table.from_arrays([table.column("part"), table.column("block"), pa.array(marks, pa.binary())], names)
 
     return ranges.groupBy("part").applyInArrow(mark, "part long, block long, marks binary")
@@ -329,19 +384,19 @@ def _joined_marks(pairs: list[dict]) -> np.ndarray:
 
 
 def _send_runs(marked: DataFrame, bits: int) -> DataFrame:
-    """kind 0: part, block, sizes, rest, docs, the front-coded runs; kind 1: block, the least document of each hot window."""
+    """kind 0: part, block, sizes, rest, docs, the front-coded runs; kind 1: block, the least document of each hot window;
+    kind 2: block, the place of each anchor's key among the block's keys, range by range."""
 
     names = ["kind", "part", "block", "run_sizes", "rest", "docs", "doc"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, ids, sizes, blob, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, ids, sizes, blob, pairs in _one_by_one(batch):
                 block, marks = Block(ids, sizes, blob), _joined_marks(pairs)
-                rows = []
-                for part, (keys, docs) in block.runs(marks, bits).items():
-                    coded, rest = front_code(keys)
-                    rows.append((0, part, number, coded, rest, np.array(docs, np.int64).tobytes(), None))
+                found, place = block.runs(marks, bits)
+                rows = [(0, part, number, coded, rest, docs, None) for part, coded, rest, docs in found]
+                rows.append((2, None, number, None, place.astype(np.uint32).tobytes(), None, None))
                 least: dict[bytes, int] = {}
                 for owner, _, string in block.hot_windows(marks):
                     doc = int(block.ids[owner])
@@ -354,7 +409,7 @@ def _send_runs(marked: DataFrame, bits: int) -> DataFrame:
 
 
 def least_documents(runs: list[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """For each front-coded run (sizes, rest, docs): the least document of each suffix, -1 where its windows differ,
+    """For each front-coded run (sizes, rest, docs): the least document of each suffix, MIXED where its windows differ,
     and the least documents of the windows of those, in order."""
     opened = [unfold(s, r) for s, r, _ in runs]
     docs = [np.frombuffer(d, np.int64).tolist() for _, _, d in runs]
@@ -378,7 +433,7 @@ def least_documents(runs: list[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes,
             found = [windows[s] for s in strings]
             same = min(found) == max(found)
             for run, place in places:
-                least[run][place] = found[0] if same else -1
+                least[run][place] = found[0] if same else MIXED
                 if not same:
                     detail[run][place] = found
 
@@ -406,82 +461,91 @@ def _merge(runs: DataFrame) -> DataFrame:
     """part, block, least, detail: what each run learns."""
 
     def merge(table: pa.Table) -> pa.Table:
+        release_memory()
         found = least_documents(list(zip(*(table.column(c).to_pylist() for c in ("run_sizes", "rest", "docs")), strict=True)))
         return pa.Table.from_arrays([table.column("part"), table.column("block"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["part", "block", "least", "detail"])
 
     return runs.where("kind = 0").select("part", "block", "run_sizes", "rest", "docs").groupBy("part").applyInArrow(merge, "part long, block long, least binary, detail binary")
 
 
-def _covered(block: Block, marks: np.ndarray, bits: int, answers: list[dict], hot: list[dict]) -> list[np.ndarray]:
-    """For each document the starts of the windows that go."""
-    known: dict[bytes, int | list[int]] = {}
-    answer = {a["part"]: a for a in answers}
-    for part, (keys, _) in block.runs(marks, bits).items():
-        least = np.frombuffer(answer[part]["least"], np.int64).tolist()
-        detail, at = np.frombuffer(answer[part]["detail"], np.int64).tolist(), 0
-        for key, doc in zip(keys, least, strict=True):
-            if doc == -1:
-                n = len(key) - 1 - LENGTH + 1
-                known[key] = detail[at : at + n]
-                at += n
-            else:
-                known[key] = doc
-    gone: list[list[np.ndarray]] = [[] for _ in block.texts]
-    chosen, keys = block.suffixes(marks)
-    ids = block.ids.tolist()
-    for i, key in zip(chosen.tolist(), keys, strict=True):
-        owner, doc = int(block.owner[i]), known[key]
-        if isinstance(doc, list):
-            starts = int(block.first[i]) + np.flatnonzero(np.array(doc) < ids[owner])
-        elif doc < ids[owner]:
-            starts = np.arange(int(block.first[i]), int(block.last[i]) + 1)
-        else:
-            continue
-        gone[owner].append(starts)
-    strings = {h["rest"]: h["doc"] for h in hot}
-    if strings:
-        for owner, start, string in block.hot_windows(marks):
-            if strings[string] < ids[owner]:
-                gone[owner].append(np.array([start]))
-    return [np.concatenate(g) if g else np.zeros(0, np.int64) for g in gone]
-
-
-def cut(data: bytes, starts: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """What remains of ``data``, and the maximal removed spans [start, end)."""
-    if not len(starts):
-        return data, []
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
-    gone = (np.cumsum(change)[:-1] > 0).astype(np.int8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-    return np.frombuffer(data, np.uint8)[gone == 0].tobytes(), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _removed(ready: DataFrame, bits: int) -> DataFrame:
+def _covered(block: Block, marks: np.ndarray, places: bytes | None, answers: list[dict], hot: list[dict]) -> np.ndarray:
+    """The starts, in the block, of the windows that go."""
+    gone = [np.zeros(0, np.int64)]
+    chosen = block.marked(marks, 1)
+    if len(chosen):
+        answers = sorted(answers, key=lambda a: a["part"])
+        least = np.concatenate([np.frombuffer(a["least"], np.int64) for a in answers])
+        place = np.frombuffer(places, np.uint32)
+        counts = block.last[chosen] - block.first[chosen] + 1
+        own = block.ids[block.owner[chosen]]
+        doc = least[place]
+        whole = (doc != MIXED) & (doc < own)
+        firsts, n = block.first[chosen[whole]], counts[whole]
+        ends = np.cumsum(n)
+        gone.append(np.repeat(firsts - ends + n, n) + np.arange(int(n.sum())))
+        # Keys whose windows differ have their answers in detail, in the order of the keys.
+        mixed = np.flatnonzero(doc == MIXED)
+        if len(mixed):
+            detail = np.concatenate([np.frombuffer(a["detail"], np.int64) for a in answers])
+            width = np.zeros(len(least), np.int64)
+            width[place[mixed]] = counts[mixed]
+            begin = np.cumsum(width) - width
+            n = counts[mixed]
+            ends = np.cumsum(n)
+            offset = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+            hit = detail[np.repeat(begin[place[mixed]], n) + offset] < np.repeat(own[mixed], n)
+            gone.append((np.repeat(block.first[chosen[mixed]], n) + offset)[hit])
+    if hot:
+        strings, ids = {h["rest"]: h["doc"] for h in hot}, block.ids.tolist()
+        gone.append(np.array([start for owner, start, string in block.hot_windows(marks) if strings[string] < ids[owner]], np.int64))
+    return np.concatenate(gone)
+
+
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as Python values; blocks are large, so never all at once, and what one took is given back before the next."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+        release_memory()
+
+
+def _removed(ready: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "spans", "kept"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, blob, pairs, answers, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids, sizes, blob, pairs, places, answers, hot in _one_by_one(batch):
                 block, marks = Block(ids, sizes, blob), _joined_marks(pairs or [])
-                starts = _covered(block, marks, bits, answers or [], hot or [])
-                rows = []
-                for key, data, s in zip(block.ids.tolist(), block.texts, starts, strict=True):
-                    kept, spans = cut(data, s)
-                    rows.append((None if key == LATEST else key, len(data), [{"start": a, "end": b} for a, b in spans], kept))
-                yield _rows(names, types, rows)
-
-    return ready.select("ids", "sizes", "blob", "pairs", "answers", "hot").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+                change = np.zeros(len(block.data) + 1, np.int32)
+                starts = _covered(block, marks, places, answers or [], hot or [])
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + LENGTH, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                # A run ends with its text, even if the next text begins with another.
+                cuts = np.zeros(len(gone) + 1, bool)
+                cuts[block.ends - block.sizes] = cuts[block.ends] = True
+                cuts = cuts[:-1]
+                begins = np.flatnonzero(gone & (cuts | ~np.concatenate([[False], gone[:-1]])))
+                stops = np.flatnonzero(gone & np.concatenate([cuts[1:] | ~gone[1:], [True]])) + 1 if len(gone) else begins
+                bounds = np.searchsorted(begins, np.concatenate([[0], block.ends]))
+                rows, kept = [], block.data[~gone].tobytes()
+                lost = np.concatenate([[0], np.cumsum(gone)])
+                base = block.ends - block.sizes
+                for i, (key, n) in enumerate(zip(block.ids.tolist(), block.sizes.tolist(), strict=True)):
+                    at, end = int(base[i]), int(block.ends[i])
+                    spans = [{"start": x - at, "end": y - at} for x, y in zip(begins[bounds[i] : bounds[i + 1]].tolist(), stops[bounds[i] : bounds[i + 1]].tolist(), strict=True)]
+                    rows.append((None if key == LATEST else key, n, spans, kept[at - int(lost[at]) : end - int(lost[end])]))
+                yield _rows(names, [pa.int64(), pa.int64(), spans_type, pa.binary()], rows)
+
+    return ready.select("ids", "sizes", "blob", "pairs", "places", "answers", "hot").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, spans (removed) and kept (the remaining bytes) of every document."""
     scratch = Scratch(spark, "suffixes")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, total // (2 * block_bytes) + 1)
-    bits = max(6, int(total // (8 * block_bytes)).bit_length())
+    buckets = max(64, total // BUCKET_BYTES + 1)
+    bits = max(6, int(total // RANGE_BYTES).bit_length())
     blocks = save_bucketed(spark, _gather(docs, block_bytes), scratch, "block", buckets)
     marks = scratch.save(_mark_anchors(_anchor_ranges(blocks, bits), hot_blocks), "marks")
     pairs = marks.groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("pairs"))
@@ -490,8 +554,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
     own = runs.where("kind = 1").select("block", "rest", "doc")
     best = own.groupBy("rest").agg(F.min("doc").alias("doc"))
     hot = own.select("block", "rest").join(best, "rest").groupBy("block").agg(F.collect_list(F.struct("rest", "doc")).alias("hot"))
-    ready = blocks.join(pairs, "block", "left").join(answers, "block", "left").join(hot, "block", "left")
-    return _removed(ready, bits)
+    places = runs.where("kind = 2").select("block", F.col("rest").alias("places"))
+    ready = blocks.join(places, "block", "left").join(pairs, "block", "left").join(answers, "block", "left").join(hot, "block", "left")
+    return _removed(ready)
 
 
 def repeat_digest(removed: DataFrame) -> DataFrame:
