@@ -44,7 +44,7 @@ LENGTH = 50
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1  # anchors that a string of LENGTH bytes can choose from
 #: A block is a row; rows of many megabytes are hard on the executors' heaps.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 #: Text behind a bucket file of blocks, and behind a range of the exchange.
 BUCKET_BYTES = RANGE_BYTES = 16 << 20
 PIECE_BYTES = 1 << 18
@@ -502,10 +502,10 @@ def _covered(block: Block, marks: np.ndarray, places: bytes | None, answers: lis
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Rows as Python values; blocks are large, so never all at once, and what one took is given back before the next."""
+    """Rows as Python values; blocks are large, so never all at once, and what they took is given back."""
     for i in range(batch.num_rows):
         yield tuple(c[i].as_py() for c in batch.columns)
-        release_memory()
+    release_memory()
 
 
 def _removed(ready: DataFrame) -> DataFrame:
