@@ -151,6 +151,8 @@ def windows_of(key: bytes) -> list[tuple[int, bytes]]:
 def shared(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, known to be ``start`` at least."""
     n = min(len(a), len(b))
+    if a == b:
+        return n
     while start + 8 <= n and a[start : start + 8] == b[start : start + 8]:
         start += 8
     while start < n and a[start] == b[start]:
@@ -159,18 +161,20 @@ def shared(a: bytes, b: bytes, start: int) -> int:
 
 
 def front_code(keys: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    """(per key the shared and the remaining length, the remaining bytes) of sorted distinct ``keys``."""
+    """(per key the shared and the remaining length, the remaining bytes, compressed) of sorted distinct ``keys``."""
     lcp = np.zeros(len(keys), np.int64)
     if len(keys) > 1:
         lcp[1:] = np.minimum((keys[1:] != keys[:-1]).argmax(1), np.minimum(sizes[1:], sizes[:-1]))
     column = np.arange(keys.shape[1])
     rest = keys[(column >= lcp[:, None]) & (column < sizes[:, None])]
-    return np.stack([lcp, sizes - lcp], 1).astype(np.uint8).tobytes(), rest.tobytes()
+    return np.stack([lcp, sizes - lcp], 1).astype(np.uint8).tobytes(), pa.compress(rest.tobytes(), "zstd", asbytes=True)
 
 
 def unfold(sizes: bytes, rest: bytes) -> tuple[list[bytes], list[int]]:
     """The keys of a front-coded run, and the prefix each shares with the one before."""
     keys, at, before = [], 0, b""
+    if sizes:
+        rest = pa.decompress(rest, sum(sizes[1::2]), "zstd", asbytes=True)
     for i in range(0, len(sizes), 2):
         n = sizes[i + 1]
         before = before[: sizes[i]] + rest[at : at + n]
