@@ -1,18 +1,24 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference vectors are a bounded sample.  A vector is described by the ordered
-list of its PREFIX nearest references, which indexes it under each of them;
-members of one inverted list that share SHARED references at least are
-compared by cosine in double precision, on the vectors themselves.  A pair is
-counted in the list of its least shared reference alone.  Lists longer than
-BLOCK are dealt in pairs of blocks, so no list meets in one task, and a block
-emits a link count per vector and one edge per vector to the least member of
-its local component, never its pairs.
+Reference vectors are a bounded sample, ordered so that near ones are
+neighbours and cut into bins.  A vector is a member of the bin of its nearest
+reference, and visits each later bin with a reference that can be the nearest
+one of a vector within the threshold's angle: a vector nearest to p lies on
+p's side of the plane between p and any other reference q, so one nearest to q
+whose distance from that plane is greater has no partner there.  That bound
+holds whatever the density of references, so every pair at the threshold meets
+in one bin, once, and is compared by cosine in double precision.  Bins longer
+than BLOCK are dealt in pairs of blocks, so no bin meets in one task, and a
+block pair emits a link count per vector and one edge per vector to the least
+member of its local component, never its pairs.
+
+Where the bound rules nothing out (vectors without clusters, in many
+dimensions), the comparisons grow with the square of a label's size.
 
 Equal vectors of a label are one entry with a multiplicity.  Vectors that are
 null, zero or hold null or non-finite components, and rows without a label,
 link with nothing; vectors of different lengths are never compared.  Lengths
-without a reference share one list.  Rows with equal ids are counted each.
+without a reference share one bin.  Rows with equal ids are counted each.
 """
 
 from __future__ import annotations
@@ -24,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import Scratch, connected_components, group_bounds, whole_groups
+from sheetwright.llm.common import BATCH_ROWS, Scratch, connected_components, group_bounds, whole_groups
 
 THRESHOLD = 0.93
-PREFIX, SHARED = 8, 2
 #: References: one for PER_PIVOT entries, within these bounds (4096 vectors at most reach the driver).
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 200, 64, 4096
 BLOCK = 1024
+#: Room for rounding in the bound.
+SLACK = 1e-9
 
 
 def usable(embedding):
@@ -46,36 +53,57 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def prefixes(rows: np.ndarray, pivots: np.ndarray, length: int = PREFIX) -> np.ndarray:
-    """Numbers of the nearest references of each row, nearest first; ties go to the smaller number."""
-    return np.argsort(-np.round(rows @ pivots.T, 12), axis=1, kind="stable")[:, :length].astype(np.int16)
-
-
-def local_components(linked: np.ndarray) -> np.ndarray:
-    """The least row reachable from each row of a symmetric link matrix."""
-    label, n = np.arange(len(linked)), len(linked)
+def near_order(rows: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): ``rows`` halved along their longest axis again and again, into ``parts`` of about equal size."""
+    order, starts = np.arange(len(rows)), []
+
+    def cut(a: int, b: int, n: int) -> None:
+        if n == 1:
+            starts.append(a)
+            return
+        part = rows[order[a:b]]
+        axis = np.linalg.eigh(np.cov(part, rowvar=False).reshape(part.shape[1], -1))[1][:, -1]
+        order[a:b] = order[a:b][np.argsort(part @ axis, kind="stable")]
+        middle = a + (b - a) * (n // 2) // n
+        cut(a, middle, n // 2)
+        cut(middle, b, n - n // 2)
+
+    cut(0, len(rows), min(parts, len(rows)))
+    return order, np.array(starts)
+
+
+def bins_of(rows: np.ndarray, pivots: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(own, visits): the bin of each row's nearest reference, and which later bins can hold a partner."""
+    cosine = rows @ pivots.T
+    nearest = cosine.argmax(1)
+    own = np.searchsorted(starts, nearest, "right") - 1
+    if threshold > 0:
+        apart = np.sqrt(np.maximum(2 - 2 * (pivots[nearest] @ pivots.T), 0))
+        reach = cosine[np.arange(len(rows)), nearest, None] - cosine <= np.sqrt(max(1 - threshold * threshold, 0)) * apart + SLACK
+    else:
+        reach = np.ones(cosine.shape, bool)
+    visits = np.logical_or.reduceat(reach, starts, axis=1)
+    return own, visits & (np.arange(len(starts)) > own[:, None])
+
+
+def local_components(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id reachable from each row, where ``linked`` joins the rows ``left`` with the rows ``right``."""
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(n, np.int32)
+    label[order] = np.arange(n, dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(linked, label[None, :], n).min(1))
-        least = least[least]
+        least = label.copy()
+        least[left] = np.minimum(least[left], np.where(linked, label[right][None, :], n).min(1, initial=n))
+        least[right] = np.minimum(least[right], np.where(linked, least[left][:, None], n).min(0, initial=n))
+        least = least[order[least]]
         if (least == label).all():
-            return label
+            return ids[order[label]]
         label = least
 
 
-def pair_matrix(rows: np.ndarray, prefix: np.ndarray, pivot: int, pivots: int, threshold: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """(linked, counted): pairs over the threshold that share enough references, and those of which ``pivot`` is the least."""
-    member = np.zeros((len(rows), max(pivots, 1)), np.float32)
-    np.put_along_axis(member, prefix.astype(np.int64), 1, axis=1)
-    count = member @ member.T
-    linked = (count >= min(shared, prefix.shape[1])) & (rows @ rows.T >= threshold)
-    np.fill_diagonal(linked, False)
-    below = member[:, :pivot]
-    return linked, linked & (below @ below.T == 0)
-
-
-def _postings(entries: DataFrame, references: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    names = ["label", "dim", "pivot", "id", "copies", "prefix", "vector"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+def _postings(entries: DataFrame, references: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
+    names = ["label", "dim", "bin", "own", "id", "copies", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,65 +112,88 @@ def _postings(entries: DataFrame, references: dict[int, np.ndarray], prefix: int
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 rows = np.array([vectors[int(i)].as_py() for i in at], np.float64)
-                pivots = references.get(int(dim))
-                near = prefixes(unit_rows(rows), pivots, prefix) if pivots is not None else np.zeros((len(at), 1), np.int16)
-                k = near.shape[1]
-                take = np.repeat(at, k)
-                near_bytes, row_bytes = [r.tobytes() for r in near], [r.tobytes() for r in rows]
-                columns = [label.take(pa.array(take)), [int(dim)] * len(take), near.reshape(-1).astype(np.int32), ids.take(pa.array(take)), copies.take(pa.array(take)), [x for x in near_bytes for _ in range(k)], [x for x in row_bytes for _ in range(k)]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                own, visits = bins_of(unit_rows(rows), *references[int(dim)], threshold) if int(dim) in references else (np.zeros(len(at), np.int64), np.zeros((len(at), 1), bool))
+                who, where = np.nonzero(visits)
+                who, bins, mine = np.append(np.arange(len(at)), who), np.append(own, where), np.arange(len(at) + len(who)) < len(at)
+                vector = pa.array([r.tobytes() for r in rows], pa.binary())
+                for a in range(0, len(who), BATCH_ROWS):
+                    some = slice(a, a + BATCH_ROWS)
+                    take = pa.array(at[who[some]])
+                    yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(take), dim, np.int32)), pa.array(bins[some].astype(np.int32)), pa.array(mine[some]), ids.take(take), copies.take(take), vector.take(pa.array(who[some]))], names)
 
-    return entries.select(F.col("label").cast("long"), "id", "copies", "embedding").mapInArrow(run, "label long, dim int, pivot int, id long, copies long, prefix binary, vector binary")
+    return entries.select(F.col("label").cast("long"), "id", "copies", "embedding").mapInArrow(run, "label long, dim int, bin int, own boolean, id long, copies long, vector binary")
 
 
-def _links(postings: DataFrame, pivots: dict[int, int], threshold: float, shared: int, block: int) -> DataFrame:
+def _links(postings: DataFrame, threshold: float, block: int) -> DataFrame:
     """a, n, b: for each entry of a block pair its links counted there, and the least entry it is joined to."""
     names = ["a", "n", "b"]
-    lists = ["label", "dim", "pivot"]
-    sizes = postings.groupBy(*lists).agg(F.count("*").alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    me = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    listed = postings.join(sizes.select(*lists, blocks.alias("_blocks")), lists).select("*", me.alias("me"))
-    dealt = listed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("o")).select(*postings.columns, "me", F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"))
-    group = [*lists, "i", "j"]
+    bins = ["label", "dim", "bin"]
+    sizes = postings.groupBy(*bins).agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_visits")).where("_own > 0 and _own + _visits > 1")
+    blocks = [F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("_own", "_visits")]
+    me = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("_own")).otherwise(F.col("_visits"))).cast("int")
+    listed = postings.join(sizes.select(*bins, *blocks), bins).withColumn("me", me)
+
+    def pairs(number: str, visited: bool, i, j, right):
+        """The block pairs (i, j) of a row with the blocks o of a number, and whether it is on the right."""
+        each = F.transform(F.sequence(F.lit(0), F.col(number) - 1), lambda o: F.struct(F.lit(visited).alias("visited"), i(o).alias("i"), j(o).alias("j"), right(o).alias("right")))
+        return F.when(F.col(number) > 0, each).otherwise(F.slice(each, 1, 0))
+
+    mine = F.col("me")
+    inside = pairs("_own", False, lambda o: F.least(mine, o), lambda o: F.greatest(mine, o), lambda o: mine > o)
+    visited = pairs("_visits", True, lambda o: mine, lambda o: o, lambda o: F.lit(False))
+    visiting = pairs("_own", True, lambda o: o, lambda o: mine, lambda o: F.lit(True))
+    dealt = listed.select(*bins, "id", "copies", "vector", F.explode(F.when(F.col("own"), F.concat(inside, visited)).otherwise(visiting)).alias("_pair")).select(*bins, "id", "copies", "vector", "_pair.*")
+    group = [*bins, "visited", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, group):
-            dims, pivot, ids, copies, me, i, j = (table.column(c).to_numpy() for c in ("dim", "pivot", "id", "copies", "me", "i", "j"))
-            prefix, vector = table.column("prefix").to_pylist(), table.column("vector").to_pylist()
+            ids, copies, right, visited, i, j = (table.column(c).to_numpy() for c in ("id", "copies", "right", "visited", "i", "j"))
+            vector = table.column("vector").to_pylist()
             out: list[list[np.ndarray]] = [[], [], []]
             for a, b in group_bounds(table, group):
                 if b - a < 2:
                     continue
                 rows = unit_rows(np.frombuffer(b"".join(vector[a:b]), np.float64).reshape(b - a, -1))
-                near = np.frombuffer(b"".join(prefix[a:b]), np.int16).reshape(b - a, -1)
-                linked, counted = pair_matrix(rows, near, int(pivot[a]), pivots.get(int(dims[a]), 1), threshold, shared)
-                if i[a] != j[a]:  # pairs inside a block have their own task
-                    across = me[a:b, None] != me[None, a:b]
-                    linked, counted = linked & across, counted & across
-                some = np.flatnonzero(linked.any(1))
-                if len(some):
-                    order = np.argsort(ids[a:b], kind="stable")
-                    component = np.empty(b - a, np.int64)
-                    component[order] = ids[a:b][order][local_components(linked[np.ix_(order, order)])]
-                    for column, values in zip(out, (ids[a:b][some], (counted[some] @ copies[a:b].astype(np.float64)).astype(np.int64), component[some]), strict=True):
-                        column.append(values)
+                one_block = not visited[a] and i[a] == j[a]
+                x, y = (np.arange(b - a),) * 2 if one_block else (np.flatnonzero(~right[a:b]), np.flatnonzero(right[a:b]))
+                linked = rows[x] @ rows[y].T >= threshold
+                if one_block:
+                    np.fill_diagonal(linked, False)
+                if not linked.any():
+                    continue
+                n, times = np.zeros(b - a, np.int64), copies[a:b].astype(np.float32 if copies[a:b].sum() < 1 << 24 else np.float64)
+                n[x] += (linked @ times[y]).astype(np.int64)
+                if not one_block:
+                    n[y] += (times[x] @ linked).astype(np.int64)
+                some = np.flatnonzero(n)
+                for column, values in zip(out, (ids[a:b][some], n[some], local_components(linked, x, y, ids[a:b])[some]), strict=True):
+                    column.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, n long, b long")
 
 
-def references_of(entries: DataFrame, number: int) -> dict[int, np.ndarray]:
-    """By vector length: unit references, the entries with the least hashes of their ids."""
+def references_of(entries: DataFrame, number: int, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By vector length: unit references, the entries with the least hashes of their ids, by bin, and where each bin starts.
+
+    There are as many bins as the largest label has blocks.
+    """
     rows = entries.select("id", "embedding").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(number).collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    return {k: unit_rows(np.array(v, np.float64)) for k, v in by.items()}
+    labels = entries.groupBy("label", F.size("embedding").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n"))
+    largest = {r["dim"]: r["n"] for r in labels.where(F.col("dim").isin(list(by))).collect()}
+    out = {}
+    for dim, vectors in by.items():
+        pivots = unit_rows(np.array(vectors, np.float64))
+        order, starts = near_order(pivots, -(-largest[dim] // block))
+        out[dim] = pivots[order], starts
+    return out
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label)."""
     scratch = Scratch(spark, "pivots")
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -150,9 +201,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     # Zeros of either sign are one value to the grouping, as they are to the cosine.
     entries = scratch.save(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "entries")
     number = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, entries.count() // PER_PIVOT))
-    references = references_of(entries, number)
-    posted = scratch.save(_postings(entries, references, prefix), "postings")
-    links = scratch.save(_links(posted, {k: len(v) for k, v in references.items()}, threshold, shared, block), "links")
+    posted = scratch.save(_postings(entries, references_of(entries, number, block), threshold), "postings")
+    links = scratch.save(_links(posted, threshold, block), "links")
     scratch.drop(posted)
     components = scratch.save(connected_components(spark, links.select("a", "b"), scratch), "components")
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))

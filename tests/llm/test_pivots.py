@@ -73,3 +73,16 @@ def test_lengths_without_references_share_a_list(spark):
     rows = [(i, [float(i % 3), 1.0, 2.0], 1) for i in range(30)] + [(100, [1.0, 2.0], 1), (101, [1.0, 2.001], 1)]
     got = {r["vec_id"]: r["n_links"] for r in run(spark, rows, pivots=3)}
     assert got[100] == got[101] == 1
+
+
+def test_a_dense_group_is_found_whole(spark):
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=64) + rng.normal(size=(1000, 64)) * 0.22  # cosines from 0.9 to 0.98
+    vectors = np.concatenate([near, rng.normal(size=(2000, 64))]).astype(np.float32)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= P.THRESHOLD
+    np.fill_diagonal(linked, False)
+    for block in (1024, 100):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in run(spark, [(i, v, 1) for i, v in enumerate(vectors.tolist())], pivots=600, block=block)}
+        assert [got[i][0] for i in range(3000)] == linked.sum(1).tolist()
+        assert len({got[i][1] for i in np.flatnonzero(linked[0])}) == 1
