@@ -3,7 +3,10 @@
 Base spans come from three patterns.  On top of them, candidates in base64 or
 hex are decoded and reported only if what they hold has the structure of a
 secret: nested DER lengths of a private key, the length-prefixed fields of an
-OpenSSH key, or the JSON header and claims of a signed token.
+OpenSSH key, PEM text of either, or the JSON header and claims of a signed
+token.  Wrapped lines are one candidate, every candidate is decoded at each
+alignment, and a key may start and end anywhere inside it.  An encrypted PEM
+block is known by its headers, as its body has no structure to see.
 
 Nulls and empty texts have no spans.  Repeated rows are scanned each for
 itself.  Only the id and the text are read, so other columns can't clash.
@@ -28,9 +31,16 @@ KINDS = (*BASE_KINDS, "pem", "der", "openssh", "jwt")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+#: The end of a line, or its escape inside a string.
+_LINE = r"(?:\r?\n|(?:\\r)?\\n)"
+_PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(\s*+{_LINE}?(?:[A-Za-z][A-Za-z0-9-]*:[^\n\\]*{_LINE}\s*+)++)?+([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED[\s\S]*DEK-Info:\s*[A-Za-z0-9-]+")
+_WRAP = re.compile(rf"[ \t]*{_LINE}[ \t]*")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{_WRAP.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_HEX_ANY = re.compile(rf"[0-9A-Fa-f]{{40,}}(?:{_WRAP.pattern}[0-9A-Fa-f]+)*")
+#: A sequence of any length whose first element is a version or a sequence.
+_DER_START = re.compile(rb"\x30(?=(?:[\x00-\x7f]|\x81.|\x82..|\x83.{3}|\x84.{4})(?:\x02\x01[\x00\x01]|\x30))", re.DOTALL)
+_OPENSSH = b"openssh-key-v1\0"
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _SPACES = re.compile(r"\\n|\\r|\s")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
@@ -66,10 +76,16 @@ def read_tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + length) if at + length <= end else None
 
 
+#: Elements of a sequence at most; no private key has as many.
+MOST_ELEMENTS = 32
+
+
 def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """Elements that fill [start, end) exactly."""
-    found = []
+    found: list[tuple[int, int, int]] = []
     while start < end:
+        if len(found) == MOST_ELEMENTS:
+            return None
         item = read_tlv(data, start, end)
         if item is None:
             return None
@@ -79,9 +95,14 @@ def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_private_der(data: bytes) -> bool:
-    """PKCS#1, DSA, SEC1, PKCS#8 or encrypted PKCS#8, judged by nested lengths and element kinds."""
+    """Whether all of ``data`` is one private key."""
     top = read_tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+    return top is not None and top[2] == len(data) and is_private_element(data, top)
+
+
+def is_private_element(data: bytes, top: tuple[int, int, int]) -> bool:
+    """PKCS#1, DSA, SEC1, PKCS#8 or encrypted PKCS#8, judged by nested lengths and element kinds."""
+    if top[0] != 0x30:
         return False
     parts = children(data, top[1], top[2])
     if not parts:
@@ -100,28 +121,32 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The magic, three length-prefixed strings, a key count and as many public keys and one private block."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+def openssh_end(data: bytes, at: int) -> int | None:
+    """One past the last byte of the OpenSSH key at ``at``: the magic, three length-prefixed strings, a key count and as many public keys and one private block."""
+    if not data.startswith(_OPENSSH, at):
+        return None
+    at += len(_OPENSSH)
 
-    def field() -> bytes | None:
+    def field() -> int | None:
         nonlocal at
         n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data)
         if at + 4 + n > len(data):
             return None
         at += 4 + n
-        return data[at - n : at]
+        return n
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 16 or any(field() is None for _ in range(count)):
-        return False
-    return bool(field()) and at == len(data)
+        return None
+    return at if field() else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether all of ``data`` is one OpenSSH key."""
+    return openssh_end(data, 0) == len(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -136,6 +161,66 @@ def is_signed_token(text: str) -> bool:
     return header["alg"].lower() == "none" or bool(signature and _b64(signature))
 
 
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the PEM blocks that hold a key, or say that they hold an encrypted one."""
+    found = []
+    for m in _PEM.finditer(text):
+        data = _b64(_SPACES.sub("", m[3]))
+        if data and (is_private_der(data) or is_openssh_key(data) or (m[2] and _ENCRYPTED.search(m[2]) and len(data) >= 16 and len(data) % 8 == 0)):
+            found.append((m.start(), m.end()))
+    return found
+
+
+def keys_in(data: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in bytes of the keys in decoded data; a key's own parts are not listed."""
+    found, reach = [], 0
+    for m in _DER_START.finditer(data):
+        if m.start() >= reach and (top := read_tlv(data, m.start(), len(data))) and is_private_element(data, top):
+            found.append(("der", m.start(), reach := top[2]))
+    at = data.find(_OPENSSH)
+    while at >= 0:
+        end = openssh_end(data, at)
+        if end is not None:
+            found.append(("openssh", at, end))
+        at = data.find(_OPENSSH, end or at + 1)
+    if b"-----BEGIN" in data:
+        found += [("pem", a, len(data) - len(data[b:].lstrip())) for a, b in pem_spans(data.decode("latin-1"))]
+    return found
+
+
+def _decoded(run: str, bits: int) -> Iterator[tuple[int, bytes]]:
+    """(characters left out, bytes) of a base64 (6 bits) or hex (4 bits) run at each alignment."""
+    if bits == 4:
+        for k in range(2):
+            yield k, bytes.fromhex(run[k : len(run) - (len(run) - k) % 2])
+        return
+    for k in range(4):
+        body = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+        data = _b64(body)
+        if data:
+            yield k, data
+
+
+def _encoded_keys(text: str, pattern: re.Pattern, bits: int) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in the candidates of a pattern."""
+    for m in pattern.finditer(text):
+        whole = m[0].rstrip("=")
+        wraps = list(_WRAP.finditer(whole)) if "\n" in whole or "\\" in whole else []
+        run = _WRAP.sub("", whole) if wraps else whole
+        places = None
+        for k, data in _decoded(run, bits):
+            for kind, a, b in keys_in(data):
+                first, last = k + a * 8 // bits, k - (-b * 8 // bits) - 1  # characters with bits of the key
+                if wraps and places is None:
+                    places, at = [], 0
+                    for w in wraps:
+                        places += range(m.start() + at, m.start() + w.start())
+                        at = w.end()
+                    places += range(m.start() + at, m.start() + len(whole))
+                start, end = (places[first], places[last] + 1) if places else (m.start() + first, m.start() + last + 1)
+                yield kind, start, m.end() if b == len(data) else end
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then by kind as listed in KINDS."""
     if not text:
@@ -144,25 +229,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = _b64(_SPACES.sub("", m[2]))
-            if data and (is_private_der(data) or is_openssh_key(data)):
-                spans.append(("pem", m.start(), m.end()))
+        spans += [("pem", a, b) for a, b in pem_spans(text)]
     if "eyJ" in text:
         spans += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        # The first byte of DER is 0x30 (M), of an OpenSSH key 'o' (b3BlbnNzaC).
-        if text[m.start()] == "M" and (data := _b64(m[0])) and is_private_der(data):
-            spans.append(("der", m.start(), m.end()))
-        elif text[m.start()] == "b" and (data := _b64(m[0])) and is_openssh_key(data):
-            spans.append(("openssh", m.start(), m.end()))
-    for m in _HEX_ANY.finditer(text):
-        if text[m.start()] in "36" and len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            if is_private_der(data):
-                spans.append(("der", m.start(), m.end()))
-            elif is_openssh_key(data):
-                spans.append(("openssh", m.start(), m.end()))
+    spans += _encoded_keys(text, _BASE64, 6)
+    spans += _encoded_keys(text, _HEX_ANY, 4)
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -81,3 +81,41 @@ def test_redaction(odd):
     rest = lambda df: sorted(map(str, df.where("doc_id is null or doc_id <> 10").collect()))
     assert clean.columns == odd.columns and rest(clean) == rest(odd)
     assert clean.where("doc_id = 10").first()["text"] == "[SECRET]"  # 120,000 letters a are hex
+
+
+B64 = lambda b: base64.b64encode(b).decode()
+WRAPPED = lambda b, n: "\n".join(re.findall(f".{{1,{n}}}", B64(b)))
+PEM_TEXT = "-----BEGIN PRIVATE KEY-----\n" + WRAPPED(PKCS8, 64) + "\n-----END PRIVATE KEY-----\n"
+LOCKED = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + WRAPPED(bytes(range(200, 248)), 64) + "\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    ("secret", "kind", "before", "after"),
+    [
+        (B64(PEM_TEXT.encode()), "pem", "tls.key: ", "\nnext"),
+        (WRAPPED(PEM_TEXT.encode(), 76), "pem", "x ", " y"),
+        (PEM_TEXT.encode().hex(), "pem", "x ", " y"),
+        (B64(RSA), "der", "key_", " "),
+        (B64(RSA), "der", "/", "\n"),
+        (B64(EC).rstrip("="), "der", "a-b_", "/more"),
+        (B64(OPENSSH).rstrip("="), "openssh", "id/", " "),
+        (WRAPPED(RSA, 64), "der", "see: ", "\n\nThe end"),
+        (WRAPPED(PKCS8, 76).replace("\n", "\r\n  "), "der", "", " end"),
+        (WRAPPED(RSA, 64).replace("\n", "\\n"), "der", '"', '"'),
+        (WRAPPED(OPENSSH, 64), "openssh", "", ""),
+        (RSA.hex(), "der", "0", " "),
+        ("\n".join(re.findall(".{1,60}", RSA.hex())), "der", "", ""),
+        (LOCKED, "pem", "a ", " b"),
+        (LOCKED.replace("\n", "\\n"), "pem", "'", "'"),
+    ],
+)
+def test_keys_in_any_wrapping(secret, kind, before, after):
+    text = before + secret + after
+    assert (kind, len(before), len(before) + len(secret)) in S.find_spans(text)
+    assert S.redact(text, [s for s in S.find_spans(text) if s[0] == kind]) == before + "[SECRET]" + after
+
+
+def test_no_key_in_other_data():
+    for data in (CERTIFICATE, RSA[:-1], bytes(range(256)) * 3, b"0" * 5000, LOCKED.replace("ENCRYPTED", "MIC-ONLY").encode()):
+        for text in (B64(data), "key_" + B64(data), WRAPPED(data, 64), data.hex()):
+            assert not [s for s in S.find_spans(text) if s[0] not in S.BASE_KINDS]
