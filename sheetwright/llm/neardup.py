@@ -12,7 +12,9 @@ thousands of near copies is never expanded into its pairs.  Each entry is
 first compared, on full sets, with the nearest signature among the least
 entries of its keys; the links found join entries into components; and only
 keys that still hold several components yield pairs, between different
-components, by blocks of bounded size.  No bucket is capped.
+components, by blocks of bounded size.  No bucket is capped.  Bins only order
+these comparisons: every pair within the reach whose components are still
+apart is confirmed or refused on full sets.
 
 Texts without words link with nothing.  Rows with equal ids are versions of
 one document: a link of either is a link of the id.  Null texts count as
@@ -256,7 +258,9 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame,
         x, y = np.nonzero(distance <= REACH)
         if len(x):
             alike = np.concatenate([similar_bins(bins[left[x[at : at + 4096]]], bins[right[y[at : at + 4096]]]) for at in range(0, len(x), 4096)])
-            x, y = x[alike], y[alike]
+            # Unlike bins make a link unlikely, not impossible: the first round leaves them out, the last has them at the end.
+            first = np.flatnonzero(alike) if nearest is not None else np.argsort(~alike, kind="stable")
+            x, y = x[first], y[first]
         if nearest is not None and len(x) > nearest:
             keep = np.zeros(len(x), bool)
             far = distance[x, y]

@@ -110,3 +110,15 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_unlike_bins_do_not_drop_a_pair(spark):
+    members = spark.createDataFrame([(5, 1, 1), (5, 2, 1), (5, 3, 1)], "key long, id long, lead long")
+    components = spark.createDataFrame([], "node long, component long")
+    sig = bytes(range(2 * neardup.COMPONENTS))
+    bins = [bytes([b]) * neardup.BINS for b in (1, 1, 9)]
+    entries = spark.createDataFrame([(i + 1, bytearray(sig), bytearray(b)) for i, b in enumerate(bins)], "id long, sig binary, bins binary")
+    listed = []
+    for r in neardup._cross_pairs(members, components, entries, None).collect():
+        listed += [frozenset(r["ids"][int(x)] for x in p) for p in np.frombuffer(r["pairs"], np.int32).reshape(2, -1).T]
+    assert set(listed) == {frozenset(p) for p in ((1, 2), (1, 3), (2, 3))}
