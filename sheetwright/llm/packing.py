@@ -9,7 +9,10 @@ of equal length.  The number of plans is bounded by the capacity too, since
 each one uses up a length (or less than one use of it stays).
 
 Null and empty texts are one piece that holds the end id alone.  Repeated rows
-are packed each for itself.  An empty table gives an empty result.
+are packed each for itself, null ids too.  Very long texts are tokenised whole
+and cut only then.  Equal lengths are dealt by rank, so ties change which
+sequence a piece is in, never how many there are.  Only the id and the text are
+read, so other columns can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,7 +67,9 @@ class ChunkTokenizer:
 
     The tokenizer drops white space and never joins characters across it, so
     the ids of a text are those of its chunks in turn.  Only the blank, tab and
-    line ends split here; any other space stays inside its chunk.
+    line ends split here; any other space stays inside its chunk.  The special
+    tokens' own strings hold no space, so they are found inside their chunk and
+    give the special ids, as they do in the whole text.
     """
 
     MAX_CHUNKS, MAX_CHARS = 600_000, 24_000_000
@@ -77,7 +82,6 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.mark = self._ids(self.MARK)
         self.chunks = _Chunks()
         self.starts, self.counts, self.hits = (np.zeros(0, np.int64) for _ in range(3))

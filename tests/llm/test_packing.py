@@ -12,7 +12,6 @@ from sheetwright.llm import packing
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(packing.default_tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
 
 
@@ -61,6 +60,13 @@ def test_cache_that_overflows(plain, monkeypatch):
             assert ids.tolist() == plain(text).tolist()[:-1]
 
 
+def test_special_strings_give_special_ids(plain):
+    texts = ["a<|endoftext|>b", "<|startoftext|> the end <|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "<|startoftext|>" * 3, "x " * 40_000 + "<|endoftext|>"]
+    found = list(packing.ChunkTokenizer(packing.default_tokenizer_path()).encode(texts))
+    assert [x.tolist() for x in found] == [plain(t).tolist()[:-1] for t in texts]
+    assert {49406, 49407} <= set(np.concatenate(found).tolist())
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_fullest_is_the_best_subset(seed):
     rng = random.Random(seed)
