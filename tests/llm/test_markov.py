@@ -33,6 +33,7 @@ def test_documents_and_gain_on_held_out_rows(spark, docs, texts):
     rows = M.score_documents(spark, docs, block_bytes=100_000).collect()
     check(rows, list(texts.items()))
     held = [r for r in rows if r["held_out"]]
+    print(sum(r["score"] for r in held), sum(r["base_score"] for r in held))
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
@@ -64,7 +65,12 @@ def paths(classes, start, move, emit):
         yield path, p
 
 
-def test_likelihood_is_the_sum_over_all_paths():
+@pytest.fixture(params=[512, 2, 1])
+def stretch(request, monkeypatch):
+    monkeypatch.setattr(M, "STRETCH", request.param)
+
+
+def test_likelihood_is_the_sum_over_all_paths(stretch):
     start, move, emit = model(3, 1)
     sequences = [[5], [1, 2, 3, 1], [9, 9], [4, 1, 4, 1, 4, 2]]
     flat, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
@@ -72,9 +78,9 @@ def test_likelihood_is_the_sum_over_all_paths():
     assert np.allclose(got, [math.log10(sum(p for _, p in paths(s, start, move, emit))) for s in sequences])
 
 
-def test_expected_counts_are_those_over_all_paths():
+def test_expected_counts_are_those_over_all_paths(stretch):
     start, move, emit = model(2, 2)
-    sequences = [[5, 1, 5], [1], [7, 7, 1, 5]]
+    sequences = [[5, 1, 5], [1], [7, 7, 1, 5], [5, 5, 1, 7, 1]]
     flat, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
     firsts, moves, emissions, log = M.expected_counts(flat, sizes, start, move, emit)
     f, m, e, total = np.zeros(2), np.zeros((2, 2)), np.zeros((M.CLASSES, 2)), 0.0
@@ -90,29 +96,76 @@ def test_expected_counts_are_those_over_all_paths():
     assert np.allclose(firsts, f) and np.allclose(moves, m) and np.allclose(emissions, e) and log == pytest.approx(total)
 
 
-def test_training_raises_the_likelihood(spark, docs):
-    blocks = M.encode(docs.limit(80)).cache()
-    base = np.zeros(M.CLASSES)
-    counts, known = {}, 0
-    for r in M._pairs(blocks).groupBy("word", "class").sum("n").collect():
-        counts[r["class"]] = counts.get(r["class"], 0) + r["sum(n)"] + 1
-        known += r["sum(n)"] + 1
-    for c, n in counts.items():
-        base[c] = n / (known + 1)
-    *_, logs = M.train(blocks, base, 1 / (known + 1), rounds=4)
+def plain_counts(s, start, move, emit):
+    """Forward and backward over a whole sequence, one token at a time."""
+    alpha, scale = [], []
+    for t, c in enumerate(s):
+        row = (start if not t else alpha[-1] @ move) * emit[c]
+        scale.append(row.sum())
+        alpha.append(row / row.sum())
+    beta, moves, emissions = np.ones(len(start)), np.zeros_like(move), np.zeros_like(emit)
+    for t in range(len(s) - 1, -1, -1):
+        emissions[s[t]] += alpha[t] * beta
+        if t:
+            weighted = emit[s[t]] * beta / scale[t]
+            moves += move * np.outer(alpha[t - 1], weighted)
+            beta = move @ weighted
+        else:
+            firsts = alpha[0] * beta
+    return firsts, moves, emissions, np.log(scale).sum()
+
+
+def test_long_texts_are_not_cut():
+    start, move, emit = model(3, 7)
+    rng = np.random.default_rng(8)
+    sequences = [rng.integers(0, 40, n) for n in (1, 511, 512, 513, 1024, 1025, 5000, 3, 2500, 1537)]
+    flat, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
+    got = M.expected_counts(flat, sizes, start, move, emit)
+    one_by_one = [plain_counts(s, start, move, emit) for s in sequences]
+    for i in range(4):
+        assert np.allclose(got[i], sum(one[i] for one in one_by_one), rtol=1e-9)
+    assert np.allclose(M.log_ratios(flat, np.ones(len(flat), bool), sizes, start, move, emit), [one[3] / math.log(10) for one in one_by_one])
+    assert np.isclose(got[0].sum(), len(sequences)) and np.isclose(got[1].sum(), sizes.sum() - len(sequences))
+
+
+def fitted(docs, rounds):
+    blocks = M.encode(docs).cache()
+    total = blocks.agg({"tokens": "sum"}).first()[0]
+    known = M.corpus_counts(blocks, 6, 5).where("kind = 1").collect()
+    head = np.sort(np.frombuffer(b"".join(r["known"] for r in known), np.uint64))
+    counts = M.symbol_counts(blocks, head)
+    assert counts.sum() == total
+    out = M.train(blocks, head, counts, 1 / (total + sum(r["distinct"] for r in known) + 1), rounds=rounds)
     blocks.unpersist()
-    assert all(b > a - 1e-6 * abs(a) for a, b in zip(logs, logs[1:], strict=False)) and logs[-1] > logs[0]
-
-
-def test_the_model_sums_to_one():
-    rng = np.random.default_rng(4)
-    words = {w: int(c) for w, c in zip((f"w{i}" for i in range(50)), rng.integers(1, 9, 50), strict=True)}
-    n, v = sum(words.values()), len(words)
-    u = 1 / (n + v + 1)
-    q = np.zeros(M.CLASSES)
-    for w, c in words.items():
-        q[M.word_class(w.encode())] += (c + 1) / (n + v + 1)
-    b = np.where(q > 0, rng.uniform(size=M.CLASSES), 0)
-    b /= b.sum()
-    total = u + sum((1 - u) * b[M.word_class(w.encode())] * (c + 1) / (n + v + 1) / q[M.word_class(w.encode())] for w, c in words.items())
-    assert total == pytest.approx(1)
+    return head, counts, out
+
+
+def test_training_raises_the_likelihood(spark, docs):
+    *_, (_, _, _, logs) = fitted(docs.limit(80), 4)
+    assert len(logs) > 1 and all(b > a - 1e-6 * abs(a) for a, b in zip(logs, logs[1:], strict=False)) and logs[-1] > logs[0]
+
+
+def test_the_model_sums_to_one(docs, texts):
+    few = docs.limit(80)
+    head, counts, (start, move, ratio, _) = fitted(few, 2)
+    kept = Counter(w for r in few.collect() if not M.is_held_out(r["doc_id"]) for w in tokens(r["text"]))
+    n, v = sum(kept.values()), len(kept)
+    words = [w.encode() for w in kept]
+    symbols = M.symbols_of(np.array([M.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), np.array([M.word_class(w) for w in words], np.uint16), head)
+    own = {kept[w.decode()] for w, s in zip(words, symbols, strict=True) if s >= M.CLASSES}
+    assert own and min(own) >= 5 and len(head) == sum(c >= 5 for c in kept.values())
+    total = sum(ratio[s] * kept[w.decode()] / n for w, s in zip(words, symbols, strict=True)) + 1 / (n + v + 1)
+    assert np.allclose(total, 1) and np.isclose(start.sum(), 1) and np.allclose(move.sum(1), 1)
+
+
+def test_states_tell_words_of_one_ending_apart(spark):
+    rows = [(i, " ".join(["nation law state"] * 40 if i % 2 else ["station rail train"] * 40)) for i in range(60)]
+    head, _, (_, _, ratio, _) = fitted(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    at = [M.CLASSES + int(np.searchsorted(head, M.xxhash.xxh3_64_intdigest(w))) for w in (b"nation", b"station")]
+    assert M.word_class(b"nation") == M.word_class(b"station") and np.abs(np.log(ratio[at[0]] / ratio[at[1]])).max() > 1
+
+
+def test_one_very_long_text(spark):
+    text = "some words of a very long text " * 60_000
+    rows = M.score_documents(spark, spark.createDataFrame([(1, text), (2, "some words"), (None, None)], "doc_id long, text string"), rounds=1).collect()
+    check(rows, [(1, text), (2, "some words"), (None, None)])
