@@ -2,45 +2,46 @@
 
 Each source gets a target of words.  Whole epochs come first; what is left is
 filled with documents in the order of their exponential keys -ln(u)/w, where u
-comes from a hash of the id (reruns agree) and w is the document's quality
-weight, until the prefix sum reaches the budget.
+comes from a hash of id, text and the row's place among equal rows (reruns
+agree) and w is the document's quality weight, until the prefix sum reaches the
+budget.  The weight is the quality classifier's score, LEAST_WEIGHT at least,
+so it depends on no script's letter case.
 
 A source may hold any share of the rows, so no task gets all its documents.
-Keys fall into about sqrt(n) buckets in key order; bucket sums, combined before
-the shuffle, are prefix-summed per source; and only the one bucket in which the
-budget ends is sorted.  That yields one threshold per source, and each row then
-knows its copies from its own key.
+The keys of a source are cut into PARTS slices, whose sums are combined before
+the shuffle and prefix-summed; the slice in which the budget ends is cut again
+between its least and greatest key, until it holds MOST_SORTED rows at most or
+one key alone, however uneven the keys are.  Only that slice is sorted.  That
+yields one threshold per source, and each row then knows its copies from its
+own key.
 
 Nulls: a null text has size 0, a null source is a source of its own, null ids
-get the key of the null hash.  Rows with equal ids share key and fate.  Empty
-sources have target 0.  An empty table gives an empty result.
+are told apart by their texts.  Rows equal in id and text are numbered, so each
+has a key and a fate of its own.  Equal keys are taken in order of that hash.
+Very long texts are read whole; no row is cut.  Empty sources have target 0.
+An empty table gives an empty result.  Other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from sheetwright.llm.common import Scratch, number_rows
+from sheetwright.llm.common import Scratch, number_rows, release_memory, short_batches
+from sheetwright.llm.quality import score_texts
 
-_SPACE = "[\\x20\\x09-\\x0D]"
-_WORD = "[^\\x20\\x09-\\x0D]"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
-
-
-def word_count(text: Column) -> Column:
-    """Number of words; 0 for null.  Each word and the space around it become one letter."""
-    ones = F.regexp_replace(text, f"{_SPACE}*+{_WORD}++{_SPACE}*+", "x")
-    return F.coalesce(F.length(F.regexp_replace(ones, f"{_SPACE}++", "")), F.lit(0)).cast("long")
-
-
-def quality_weight(text: Column) -> Column:
-    """Squared share of lower-case letters and blanks, 0.05 at least: prose is near 0.9, shouting and marks are low."""
-    share = F.length(F.regexp_replace(text, "[^\\p{Ll}\\x20]++", "")) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.coalesce(share * share, F.lit(0.0)), F.lit(0.05))
+LEAST_WEIGHT = 0.05
+#: Slices of a source's keys, and rows of the last slice that may be sorted in one task.
+PARTS, MOST_SORTED = 1024, 100_000
 
 
 def sampling_key(key: Column, weight: Column, seed: int = 17) -> Column:
@@ -49,6 +50,40 @@ def sampling_key(key: Column, weight: Column, seed: int = 17) -> Column:
     return -F.log(u) / weight
 
 
+def keyed(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """A written table of doc_id, source, size, key, nth (among rows of one id and text) and, if ``whole``, the row itself.
+
+    ``model``: the classifier's table and bias; without one all weights are equal.
+    """
+    kept = ["doc_id", "source", "_mark", *(["_row"] if whole else [])]
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_mark"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []), "text")
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("size", LongType()), StructField("_weight", DoubleType())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            size = [len(t.encode().split()) if t else 0 for t in texts]
+            weight = np.maximum(score_texts(texts, *model), LEAST_WEIGHT) if model else np.ones(len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(weight)], [*kept, "size", "_weight"])
+        release_memory()
+
+    measured = scratch.save(short_batches(rows).mapInArrow(measure, schema), "measured")
+    out = _numbered(spark, measured, scratch)
+    return out.select("doc_id", "source", "size", sampling_key(F.xxhash64("_mark", "nth"), F.col("_weight")).alias("key"), F.xxhash64("_mark", "nth").alias("tie"), *(["_row"] if whole else []))
+
+
+def _numbered(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` and ``nth``, the number of each among those of its _mark; any third of all rows may be equal."""
+    several = scratch.save(rows.groupBy("_mark").count().where("count > 1").select("_mark"), "several")
+    if several.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    placed = number_rows(spark, rows.join(several, "_mark", "left_semi").select(*rows.columns).orderBy("_mark", F.rand(3)), scratch, "_place")
+    first = placed.groupBy("_mark").agg(F.min("_place").alias("_first"))
+    equal = placed.join(first, "_mark").select(*rows.columns, (F.col("_place") - F.col("_first")).alias("nth"))
+    single = rows.join(several, "_mark", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth"))
+    return scratch.save(single.unionByName(equal), "numbered")
+
+
 def source_targets(spark: SparkSession, totals: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``totals`` (source, source_size, ...) and ``target``.
 
@@ -73,61 +108,70 @@ def source_targets(spark: SparkSession, totals: DataFrame, scratch: Scratch, wei
     return table.select("*", F.least(F.col("_most"), F.lit(level) * F.col("_w")).alias("target")).drop("_w", "_most")
 
 
-def mix(spark: SparkSession, rows: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """From ``rows`` (doc_id, source, size, key): one row per source, and the rows with their source's
+def mix(spark: SparkSession, kept: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: int = MOST, sorted_rows: int = MOST_SORTED) -> tuple[DataFrame, DataFrame]:
+    """From ``kept`` (doc_id, source, size, key, tie; see ``keyed``): one row per source, and the rows with their source's
     source_size and target, and ``copies``, how often the mix takes the document."""
-    kept = scratch.save(rows.select("doc_id", "source", "size", "key"), "sizes")
-    totals = kept.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    rows = kept.select("source", "size", "key", "tie")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(spark, totals, scratch, weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.select("*", epochs.alias("epochs")).select("*", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("_rest"))
     sources = scratch.save(sources, "targets")
-    buckets = int((sources.agg(F.max("_n")).first()[0] or 1) ** 0.5) + 1
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long")
-    sums = kept.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_sum"))
-    order = Window.partitionBy("source").orderBy("_bucket")
-    filled = sums.select("source", "_bucket", (F.sum("_sum").over(order) - F.col("_sum")).alias("_before"), F.sum("_sum").over(order).alias("_upto"))
-
-    rest = sources.select("source", "_rest").alias("r")
-    last = filled.alias("f").join(rest, F.expr("f.source <=> r.source")).where("_before < _rest and _rest <= _upto").groupBy("f.source").agg(F.min_by("_bucket", "_bucket").alias("_last"), F.min_by("_before", "_bucket").alias("_before"), F.min("_rest").alias("_rest"))
-    last = scratch.save(last, "last")
-    inside = kept.select("*", bucket.alias("_bucket")).alias("k").join(last.alias("l"), F.expr("k.source <=> l.source and k._bucket = l._last")).select("k.source", "doc_id", "key", "size", "_before", "_rest")
-    peers = Window.partitionBy("source").orderBy("key", "doc_id")
-    upto = F.col("_before") + F.sum("size").over(peers)
-    own = F.sum("size").over(Window.partitionBy("source", "key", "doc_id"))
+    # The slice (least to greatest key) in which each budget ends, and the words before it.
+    ends = sources.where("_rest > 0").select("source", "_rest", F.lit(0.0).alias("_low"), F.lit(1.0).alias("_high"), F.lit(0).cast("long").alias("_before"))
+    even = True
+    while True:
+        ends = scratch.save(_narrowed(rows, ends, even), "ends")
+        even = False
+        if not ends.where((F.col("_n") > sorted_rows) & (F.col("_low") < F.col("_high"))).limit(1).count():
+            break
+    inside = rows.alias("k").join(ends.alias("l"), F.expr("k.source <=> l.source and k.key >= l._low and k.key <= l._high")).select("k.*", "_before", "_rest")
+    upto = F.col("_before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "tie"))
     # The document in which the budget ends is taken if that comes nearer to it.
-    ends = inside.select("source", "key", "doc_id", "_rest", upto.alias("_upto"), own.alias("_own")).where(F.col("_upto") - F.col("_own") / 2 <= F.col("_rest"))
-    ends = ends.groupBy("source").agg(F.max(F.struct(F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"))).alias("_end"))
-    limits = sources.select("source", "source_size", "target", "epochs", "_rest").alias("s").join(last.select("source", "_last").alias("l"), F.expr("s.source <=> l.source"), "left").join(ends.alias("e"), F.expr("s.source <=> e.source"), "left")
-    limits = scratch.save(limits.select("s.source", "source_size", "target", "epochs", "_last", "_end", F.lit(buckets).cast("long").alias("_buckets")), "limits")
+    last = inside.select("source", "key", "tie", "size", "_rest", upto.alias("_upto")).where(F.col("_upto") - F.col("size") / 2 <= F.col("_rest"))
+    last = last.groupBy("source").agg(F.max(F.struct("key", "tie")).alias("_end"))
+    # Without one, all keys below the slice are taken.
+    below = F.when(F.col("l._low").isNotNull(), F.struct(F.col("l._low").alias("key"), F.lit(-(2**63)).alias("tie")))
+    limits = sources.alias("s").join(ends.alias("l"), F.expr("s.source <=> l.source"), "left").join(last.alias("e"), F.expr("s.source <=> e.source"), "left")
+    limits = scratch.save(limits.select("s.source", "source_size", "target", "epochs", F.coalesce("e._end", below).alias("_end")), "limits")
     return limits, copies(kept, limits)
 
 
-def copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size, key and any others) joined with their source's limits: source_size, target, copies."""
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("_buckets"))
-    me = F.struct(F.col("key"), F.coalesce(F.col("d.doc_id"), F.lit(-(2**63))).alias("id"))
-    extra = F.when(F.col("_last").isNull(), 0).when(bucket < F.col("_last"), 1).when(bucket > F.col("_last"), 0).when(F.col("_end").isNotNull() & (me <= F.col("_end")), 1).otherwise(0)
-    joined = rows.alias("d").join(limits.alias("s"), F.expr("d.source <=> s.source"))
-    return joined.select("d.*", "source_size", "target", (F.col("epochs") + extra).cast("long").alias("copies"))
+def _narrowed(rows: DataFrame, ends: DataFrame, even: bool) -> DataFrame:
+    """``ends`` with each slice cut to that of its PARTS in which the budget ends; _n: its rows.
+
+    Slices are even in the key, but in the first round in 1 - exp(-key), whose range is known.
+    """
+    if even:
+        own = rows.select("source", "size", "key", (1 - F.exp(-F.col("key"))).alias("_at")).alias("k").join(ends.alias("l"), F.expr("k.source <=> l.source"))
+    else:
+        own = rows.select("source", "size", "key", F.col("key").alias("_at")).alias("k").join(ends.alias("l"), F.expr("k.source <=> l.source and k.key >= l._low and k.key <= l._high"))
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.least(F.floor((F.col("_at") - F.col("_low")) / width * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    sums = own.select("k.source", "size", "key", "_rest", "_before", part.alias("_part")).groupBy("source", "_part").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"), F.min("key").alias("_low"), F.max("key").alias("_high"), F.min("_rest").alias("_rest"), F.min("_before").alias("_start"))
+    upto = F.col("_start") + F.sum("_sum").over(Window.partitionBy("source").orderBy("_part"))
+    filled = sums.select("*", upto.alias("_upto"))
+    # Sums are whole numbers, the rest is not; rounding can't leave a source without its slice, as the last one's is all.
+    hit = filled.where("_rest <= _upto and _rest > _upto - _sum")
+    return hit.groupBy("source").agg(F.min(F.struct("_part", "_rest", "_low", "_high", (F.col("_upto") - F.col("_sum")).alias("_before"), "_n")).alias("m")).select("source", "m._rest", "m._low", "m._high", "m._before", "m._n")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``size`` and ``key``."""
-    return docs.select("*", word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
+def copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (source, key, tie and any others) joined with their source's limits: source_size, target, copies."""
+    taken = F.col("_end").isNotNull() & (F.struct("key", "tie") <= F.col("_end"))
+    joined = rows.alias("d").join(limits.alias("s"), F.expr("d.source <=> s.source"))
+    return joined.select("d.*", "source_size", "target", (F.col("epochs") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies"))
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and copies of every document."""
+def mix_documents(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """doc_id, source, size, key, source_size, target and copies of every document."""
     scratch = Scratch(spark, "mixing")
-    _, rows = mix(spark, keyed(docs.select("doc_id", "source", "text")), scratch)
+    _, rows = mix(spark, keyed(spark, docs.select("doc_id", "source", "text"), model, scratch), scratch)
     return rows
 
 
-def mixed_corpus(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def mixed_corpus(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     scratch = Scratch(spark, "mixing")
-    limits, _ = mix(spark, keyed(docs.select("doc_id", "source", "text")), scratch)
-    own = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = own.select("*", sampling_key(F.col("doc_id"), quality_weight(F.col("_row.text"))).alias("key"))
-    return copies(rows, limits).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    _, rows = mix(spark, keyed(spark, docs, model, scratch, whole=True), scratch)
+    return rows.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -23,7 +23,8 @@ def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix_documents(spark, documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    rows = mixing.mix_documents(spark, docs, quality.fit_quality(spark, docs, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
