@@ -9,7 +9,10 @@ alignment, and a key may start and end anywhere inside it.  An encrypted PEM
 block is known by its headers, as its body has no structure to see.
 
 Nulls and empty texts have no spans.  Repeated rows are scanned each for
-itself.  Only the id and the text are read, so other columns can't clash.
+itself.  Spans that start together are listed in the order of KINDS, then by
+end.  Very long texts are scanned whole, in time that grows with their length.
+An empty table gives an empty result.  Only the id and the text are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ _HEX_ANY = re.compile(rf"[0-9A-Fa-f]{{40,}}(?:{_WRAP.pattern}[0-9A-Fa-f]+)*")
 #: A sequence of any length whose first element is a version or a sequence.
 _DER_START = re.compile(rb"\x30(?=(?:[\x00-\x7f]|\x81.|\x82..|\x83.{3}|\x84.{4})(?:\x02\x01[\x00\x01]|\x30))", re.DOTALL)
 _OPENSSH = b"openssh-key-v1\0"
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+#: Characters of the shortest header that names an algorithm, {"alg":""}.
+LEAST_HEADER = 14
 _SPACES = re.compile(r"\\n|\\r|\s")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -161,6 +166,24 @@ def is_signed_token(text: str) -> bool:
     return header["alg"].lower() == "none" or bool(signature and _b64(signature))
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens: in runs of parts between dots, a header that begins with the first eyJ of its
+    part, and the next two parts.  Each part is decoded twice at most, so the time grows with the text alone."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at, i = m.start(), 0
+        while i + 2 < len(parts):
+            k = parts[i].find("eyJ")
+            if 0 <= k <= len(parts[i]) - LEAST_HEADER and is_signed_token(f"{parts[i][k:]}.{parts[i + 1]}.{parts[i + 2]}"):
+                end = at + sum(map(len, parts[i : i + 3])) + 2
+                found.append((at + k, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return found
+
+
 def pem_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of the PEM blocks that hold a key, or say that they hold an encrypted one."""
     found = []
@@ -231,7 +254,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "-----BEGIN" in text:
         spans += [("pem", a, b) for a, b in pem_spans(text)]
     if "eyJ" in text:
-        spans += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        spans += [("jwt", a, b) for a, b in token_spans(text)]
     spans += _encoded_keys(text, _BASE64, 6)
     spans += _encoded_keys(text, _HEX_ANY, 4)
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 
@@ -119,3 +120,21 @@ def test_no_key_in_other_data():
     for data in (CERTIFICATE, RSA[:-1], bytes(range(256)) * 3, b"0" * 5000, LOCKED.replace("ENCRYPTED", "MIC-ONLY").encode()):
         for text in (B64(data), "key_" + B64(data), WRAPPED(data, 64), data.hex()):
             assert not [s for s in S.find_spans(text) if s[0] not in S.BASE_KINDS]
+
+
+def test_signed_tokens_in_runs_of_parts():
+    text = f"x{JWT} a.b.{JWT}.{JWT} eyJ.eyJ.eyJ.{JWT}, v1.eyJhIjoxfQ.eyJiIjoyfQ."
+    assert [text[a:b] for a, b in S.token_spans(text)] == [JWT] * 4
+    assert [(k, text[a:b]) for k, a, b in S.find_spans(text) if k == "jwt"] == [("jwt", JWT)] * 4
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ." * 260_000, "eyJ" * 170_000 + "." + "eyJ" * 170_000 + ".x", "-----BEGIN PRIVATE KEY-----" * 40_000, "token" * 200_000, "MII" * 350_000, "30" * 500_000])
+def test_long_texts_take_little_time(text):
+    began = time.perf_counter()
+    S.find_spans(text)
+    assert time.perf_counter() - began < 6
+
+
+def test_a_long_text_hides_nothing():
+    text = "eyJ" * 100_000 + " filler" * 100_000 + f" {JWT} " + "eyJ" * 100_000
+    assert [text[a:b] for k, a, b in S.find_spans(text) if k == "jwt"] == [JWT]
