@@ -5,16 +5,22 @@ joined, as of its own time, to the latest earlier full response of the same
 canonical URL; its validators are checked against that response; and the
 response's headers are refreshed with those that a 304 may update.
 
-The as-of join never sorts all captures of a URL in one task.  Time is cut into
-ranges of about ROWS_PER_RANGE records; inside a (URL, range) a window finds
-the latest earlier response, the latest response of each (URL, range) is
-carried forward over the ranges, and a record takes the former or else the
-latter.
-
-Rows without a URL or a time match nothing and are reported as orphans.  Of
-responses at one time the greatest record id counts; a response at the
-revisit's own time is not earlier.  Repeated rows resolve each for itself.
-Null header maps count as empty.  All operations are DataFrame functions.
+The answer depends on URL and time alone, so the join is made once for each
+distinct pair of them, and repeated captures cost nothing.  It never sorts all
+captures of a URL in one task: time is cut into ranges of about ROWS_PER_RANGE
+pairs by a range partitioning; inside a (URL, range) a window finds the latest
+earlier response, the latest response of each (URL, range) is carried forward
+over the ranges, and a pair takes the former or else the latter.
+
+Rows without a URL or a time match nothing and are reported as orphans; rows
+without an id resolve and are found like any other.  Of responses at one time
+the greatest record id counts, and of rows that share it the one with the least
+hash of its contents; a response at the revisit's own time is not earlier.
+Repeated revisits resolve each for itself, repeated responses count once.  Null
+header maps count as empty; of header names that differ in case alone the one
+greatest by code point counts.  Very long URLs and headers are read whole.  Other columns are not
+read, so they can't clash.  An empty table gives an empty result.  All
+operations are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -50,23 +56,29 @@ def weak_tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with names in lower case; of names that then agree the greatest counts."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"])
+    return F.coalesce(F.map_from_arrays(names, values), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """The stored header map with the permitted fields of ``fresh``; names in lower case."""
-    lower = lambda m: F.transform_keys(F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.lower(k))
-    update = F.map_filter(lower(fresh), lambda k, _: k.isin(*PERMITTED))
-    kept = F.map_filter(lower(stored), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    update = F.map_filter(lower_names(fresh), lambda k, _: k.isin(*PERMITTED))
+    kept = F.map_filter(lower_names(stored), lambda k, _: ~F.array_contains(F.map_keys(update), k))
     return F.map_concat(kept, update)
 
 
 def latest_before(spark: SparkSession, records: DataFrame, scratch: Scratch, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """revisit, target: each revisit's latest earlier response, from ``records`` (record_id, key, ts long, is_response)."""
-    kept = scratch.save(records.where("key is not null and ts is not null").select("record_id", "key", "ts", "is_response"), "captures")
-    n = kept.count()
-    parts = max(1, n // rows_per_range)
-    cuts = sorted(set(kept.approxQuantile("ts", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    # About n / rows_per_range numbers, found by a sketch; as an array they are searched, not joined.
-    span = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col("ts")))
-    placed = kept.withColumn("_range", span.cast("int"))
+    """key, ts, target_ts, target: the latest earlier response of each distinct key and time of a revisit that has one, from
+    ``records`` (record_id, key, ts long, is_response)."""
+    pairs = records.where("key is not null and ts is not null").groupBy("key", "ts", "is_response").agg(F.max("record_id").alias("record_id"))
+    kept = scratch.save(pairs, "captures")
+    parts = max(1, kept.count() // rows_per_range)
+    # The number of a range partition is that of its range of times; it is written, as partitions are drawn from a sample.
+    placed = scratch.save(kept.repartitionByRange(parts, "ts").withColumn("_range", F.spark_partition_id()), "ranges")
     answer = F.when(F.col("is_response"), F.struct("ts", "record_id"))
     inside = Window.partitionBy("key", "_range").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.max(answer).over(inside)).where(~F.col("is_response"))
@@ -75,8 +87,8 @@ def latest_before(spark: SparkSession, records: DataFrame, scratch: Scratch, row
     spots = spots.groupBy("key", "_range").agg(F.max("_last").alias("_last"))
     before = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = spots.select("key", "_range", F.max("_last").over(before).alias("_carried")).where("_carried is not null")
-    found = local.join(carried, ["key", "_range"], "left")
-    return found.select(F.col("record_id").alias("revisit"), F.coalesce("_local", "_carried")["record_id"].alias("target"))
+    found = local.join(carried, ["key", "_range"], "left").select("key", "ts", F.coalesce("_local", "_carried").alias("_found"))
+    return found.where("_found is not null").select("key", "ts", F.col("_found.ts").alias("target_ts"), F.col("_found.record_id").alias("target"))
 
 
 def resolve_revisits(spark: SparkSession, records: DataFrame) -> DataFrame:
@@ -90,11 +102,15 @@ def resolve_revisits(spark: SparkSession, records: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "revisits")
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     again = F.col("kind") == "revisit"
-    rows = records.where(F.coalesce(full | again, F.lit(False))).select("record_id", canonical_url(F.col("url")).alias("key"), "ts", F.coalesce(full, F.lit(False)).alias("is_response"))
-    links = latest_before(spark, rows, scratch).distinct()
-    revisits = records.where(again).select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"), F.col("headers").alias("_fresh"))
-    responses = records.where(full).select(F.col("record_id").alias("target"), F.col("ts").alias("target_ts"), "etag", "last_modified", "digest", "headers")
-    joined = revisits.join(links, F.col("record_id") == F.col("revisit"), "left").join(responses, "target", "left")
+    key = canonical_url(F.col("url"))
+    rows = records.where(F.coalesce(full | again, F.lit(False))).select("record_id", key.alias("key"), "ts", F.coalesce(full, F.lit(False)).alias("is_response"))
+    links = latest_before(spark, rows, scratch).alias("l")
+    revisits = records.where(again).select("record_id", key.alias("canonical"), "ts", F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"), F.col("headers").alias("_fresh")).alias("v")
+    contents = F.struct("etag", "last_modified", "digest", "headers")
+    content = F.xxhash64("etag", "last_modified", "digest", F.map_entries("headers"))
+    responses = records.where(full).groupBy(key.alias("key"), "ts", "record_id").agg(F.min_by(contents, content).alias("_r")).select("key", "ts", "record_id", "_r.*").alias("r")
+    joined = revisits.join(links, F.expr("v.canonical = l.key and v.ts = l.ts"), "left").join(responses, F.expr("l.key = r.key and l.target_ts = r.ts and l.target <=> r.record_id"), "left")
+    joined = joined.select("v.*", "target", "target_ts", "etag", "last_modified", "digest", "headers")
     both_tags = F.col("_etag").isNotNull() & F.col("etag").isNotNull()
     both_times = F.col("_modified").isNotNull() & F.col("last_modified").isNotNull()
     verdict = (

@@ -39,6 +39,22 @@ def test_verdicts_and_headers(spark):
     assert warc.resolve_revisits(spark, make(spark, [])).count() == 0
 
 
+def test_repeated_rows_null_ids_and_names_that_differ_in_case(spark):
+    h = {"Date": "1", "date": "2", "X": "a" * 200_000, "x": "b"}
+    url = "http://e.com/" + "long/" * 40_000
+    rows = [
+        *[(1, url, 10, "response", 200, '"a"', None, "d1", h)] * 3, (1, url, 10, "response", 200, '"b"', None, "d9", None), (None, "http://n.com", 5, "response", 200, None, None, "dn", {"A": "1"}),
+        (None, url, 30, "revisit", 304, None, None, None, {"DATE": "8", "Date": "9"}), (2, url, 30, "revisit", 304, None, None, None, None), (2, url, 30, "revisit", 304, None, None, None, None), (3, "http://n.com/", 7, "revisit", 304, None, None, None, None), (4, "http://n.com/", 5, "revisit", 304, None, None, None, None),
+    ]
+    got = sorted(warc.resolve_revisits(spark, make(spark, rows)).collect(), key=lambda r: r["record_id"] or 0)
+    assert [(r["record_id"], r["target"], r["target_ts"], r["verdict"]) for r in got] == [(None, 1, 10, "unchecked"), (2, 1, 10, "unchecked"), (2, 1, 10, "unchecked"), (3, None, 5, "unchecked"), (4, None, None, "orphan")]
+    assert got[3]["digest"] == "dn" and got[3]["headers"] == {"a": "1"} and len({r["digest"] for r in got[:3]}) == 1
+    if got[0]["digest"] == "d1":
+        assert got[0]["headers"] == {"date": "9", "x": "b"} and got[1]["headers"] == {"date": "2", "x": "b"}
+    only = warc.resolve_revisits(spark, make(spark, [rows[0], rows[5]])).first()
+    assert only["headers"] == {"date": "9", "x": "b"}
+
+
 @pytest.mark.parametrize("size", [7, 1000])
 def test_as_of_join_over_ranges_of_a_hot_url(spark, size):
     records = spark.range(400).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 11)).alias("key"), (F.xxhash64("id") % 150).alias("ts"), (F.xxhash64("id", F.lit(1)) % 4 == 0).alias("is_response"))
@@ -48,8 +64,9 @@ def test_as_of_join_over_ranges_of_a_hot_url(spark, size):
         if not r["is_response"]:
             before = sorted((x["ts"], x["record_id"]) for x in rows if x["is_response"] and x["key"] == r["key"])
             at = bisect.bisect_left(before, (r["ts"], -1))
-            want[r["record_id"]] = before[at - 1][1] if at else None
-    got = {r["revisit"]: r["target"] for r in warc.latest_before(spark, records, Scratch(spark, "t"), size).collect()}
+            if at:
+                want[r["key"], r["ts"]] = (before[at - 1][0], max(i for t, i in before if t == before[at - 1][0]))
+    got = {(r["key"], r["ts"]): (r["target_ts"], r["target"]) for r in warc.latest_before(spark, records, Scratch(spark, "t"), size).collect()}
     assert got == want
 
 
