@@ -19,13 +19,16 @@ anchors at equal places, hence nothing is lost.
    Suffixes which share their whole anchor come out side by side, and each run
    learns the least document of its suffixes, window by window where variants
    of one anchor differ.
-5. Anchors found in more than HOT_BLOCKS blocks skip 3 and 4: their windows are
-   grouped singly, combined before the shuffle, so that a passage in a third
-   of all documents never meets in one task.
+5. The suffixes of anchors found in more than HOT_BLOCKS blocks are merged in
+   levels: runs of up to HOT_BLOCKS blocks become one run without equal keys,
+   until that many runs are left, and the answers come back the same way.  So a
+   passage in a third of all documents never meets in one task.
 
 Nulls count as empty texts.  Rows without an id count as later than all others.
-Rows with equal ids are one document: they remove nothing from each other.
-Texts shorter than LENGTH bytes lose nothing.
+Rows with equal ids are one document: they remove nothing from each other, so
+ties and repeated rows have one result.  Texts shorter than LENGTH bytes lose
+nothing; very long ones are a block of their own.  Only the id and the text are
+read, so other columns can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ WINDOW = LENGTH - GRAM + 1  # anchors that a string of LENGTH bytes can choose f
 BLOCK_BYTES = 4 << 20
 #: Text behind a bucket file of blocks, and behind a range of the exchange.
 BUCKET_BYTES = RANGE_BYTES = 16 << 20
+#: Files of blocks at most (Spark takes 100,000 buckets; a file then holds many blocks), and ranges at most, as bits.
+MOST_BUCKETS, MOST_RANGE_BITS = 50_000, 16
 PIECE_BYTES = 1 << 18
 #: Bytes of a sort key at most, filled up to whole words: LENGTH + WINDOW - 1 of text and a length.
 KEY = -(-(LENGTH + WINDOW) // 8) * 8
@@ -151,11 +156,11 @@ def windows_of(key: bytes) -> list[tuple[int, bytes]]:
 def shared(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, known to be ``start`` at least."""
     n = min(len(a), len(b))
-    if a == b:
+    if a[start:n] == b[start:n]:
         return n
-    while start + 8 <= n and a[start : start + 8] == b[start : start + 8]:
+    while a[start : start + 8] == b[start : start + 8]:
         start += 8
-    while start < n and a[start] == b[start]:
+    while a[start] == b[start]:
         start += 1
     return start
 
@@ -274,10 +279,10 @@ class Block:
         """Numbers of the anchors whose hash has ``mark``."""
         return np.flatnonzero(marks[self.inverse] == mark)
 
-    def runs(self, marks: np.ndarray, bits: int) -> tuple[list[tuple[int, bytes, bytes, bytes]], np.ndarray]:
-        """(range, sizes, rest, docs) of the front-coded sorted distinct keys of the anchors marked 1, and for each of
+    def runs(self, marks: np.ndarray, mark: int, bits: int) -> tuple[list[tuple[int, bytes, bytes, bytes]], np.ndarray]:
+        """(range, sizes, rest, docs) of the front-coded sorted distinct keys of the anchors with ``mark``, and for each of
         those anchors the place of its key among all keys in order of range and key."""
-        chosen = self.marked(marks, 1)
+        chosen = self.marked(marks, mark)
         if not len(chosen):
             return [], chosen
         keys, sizes = suffix_keys(self.data, self.position[chosen], self.first[chosen], self.last[chosen])
@@ -295,13 +300,6 @@ class Block:
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
         return [(int(part[a]), *front_code(keys[a:b], sizes[a:b]), least[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], place
 
-    def hot_windows(self, marks: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """(document number, window start in the block, string) of the windows whose anchor is marked 2."""
-        for i in self.marked(marks, 2).tolist():
-            owner = int(self.owner[i])
-            for s in range(int(self.first[i]), int(self.last[i]) + 1):
-                yield owner, s, self.blob[s : s + LENGTH]
-
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
     """A one-to-one image of the hashes with even leading bits; those of anchors are least of many, hence small."""
@@ -388,28 +386,23 @@ def _joined_marks(pairs: list[dict]) -> np.ndarray:
 
 
 def _send_runs(marked: DataFrame, bits: int) -> DataFrame:
-    """kind 0: part, block, sizes, rest, docs, the front-coded runs; kind 1: block, the least document of each hot window;
-    kind 2: block, the place of each anchor's key among the block's keys, range by range."""
+    """kind 1 or 2: part, block, run_sizes, rest, docs, the front-coded runs of the anchors with that mark; kind 0: block, and
+    as rest and docs the place of each anchor's key among the block's keys, range by range, of those marked 1 and 2."""
 
-    names = ["kind", "part", "block", "run_sizes", "rest", "docs", "doc"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["kind", "part", "block", "run_sizes", "rest", "docs"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, sizes, blob, pairs in _one_by_one(batch):
-                block, marks = Block(ids, sizes, blob), _joined_marks(pairs)
-                found, place = block.runs(marks, bits)
-                rows = [(0, part, number, coded, rest, docs, None) for part, coded, rest, docs in found]
-                rows.append((2, None, number, None, place.astype(np.uint32).tobytes(), None, None))
-                least: dict[bytes, int] = {}
-                for owner, _, string in block.hot_windows(marks):
-                    doc = int(block.ids[owner])
-                    if least.setdefault(string, doc) > doc:
-                        least[string] = doc
-                rows += [(1, None, number, None, string, None, doc) for string, doc in least.items()]
-                yield _rows(names, types, rows)
+                block, marks, rows, places = Block(ids, sizes, blob), _joined_marks(pairs), [], []
+                for mark in (1, 2):
+                    found, place = block.runs(marks, mark, bits)
+                    rows += [(mark, part, number, coded, rest, docs) for part, coded, rest, docs in found]
+                    places.append(place.astype(np.uint32).tobytes())
+                yield _rows(names, types, [*rows, (0, None, number, None, *places)])
 
-    return marked.select("block", "ids", "sizes", "blob", "pairs").mapInArrow(run, "kind int, part long, block long, run_sizes binary, rest binary, docs binary, doc long")
+    return marked.select("block", "ids", "sizes", "blob", "pairs").mapInArrow(run, "kind int, part long, block long, run_sizes binary, rest binary, docs binary")
 
 
 def least_documents(runs: list[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes, bytes]]:
@@ -469,40 +462,96 @@ def _merge(runs: DataFrame) -> DataFrame:
         found = least_documents(list(zip(*(table.column(c).to_pylist() for c in ("run_sizes", "rest", "docs")), strict=True)))
         return pa.Table.from_arrays([table.column("part"), table.column("block"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["part", "block", "least", "detail"])
 
-    return runs.where("kind = 0").select("part", "block", "run_sizes", "rest", "docs").groupBy("part").applyInArrow(merge, "part long, block long, least binary, detail binary")
-
-
-def _covered(block: Block, marks: np.ndarray, places: bytes | None, answers: list[dict], hot: list[dict]) -> np.ndarray:
-    """The starts, in the block, of the windows that go."""
-    gone = [np.zeros(0, np.int64)]
-    chosen = block.marked(marks, 1)
-    if len(chosen):
-        answers = sorted(answers, key=lambda a: a["part"])
-        least = np.concatenate([np.frombuffer(a["least"], np.int64) for a in answers])
-        place = np.frombuffer(places, np.uint32)
-        counts = block.last[chosen] - block.first[chosen] + 1
-        own = block.ids[block.owner[chosen]]
-        doc = least[place]
-        whole = (doc != MIXED) & (doc < own)
-        firsts, n = block.first[chosen[whole]], counts[whole]
+    return runs.select("part", "block", "run_sizes", "rest", "docs").groupBy("part").applyInArrow(merge, "part long, block long, least binary, detail binary")
+
+
+def one_run(runs: list[tuple[bytes, bytes, bytes]]) -> tuple[tuple[bytes, bytes, bytes], list[bytes], bytes]:
+    """The run of the distinct keys of front-coded runs with the least document of each; for each run the places of its
+    keys there; and how many windows each key there has."""
+    opened = [unfold(s, r) for s, r, _ in runs]
+    docs = [np.frombuffer(d, np.int64).tolist() for _, _, d in runs]
+    places: list[list[int]] = [[] for _ in runs]
+    sizes, rest, least, windows, before = bytearray(), [], [], bytearray(), None
+    for key, lcp, run, place in merge_runs(opened):
+        doc = docs[run][place]
+        if before is None or not lcp == len(before) == len(key):
+            sizes += bytes((lcp if before is not None else 0, len(key) - (lcp if before is not None else 0)))
+            rest.append(key[lcp if before is not None else 0 :])
+            least.append(doc)
+            windows.append(len(key) - LENGTH)
+            before = key
+        elif doc < least[-1]:
+            least[-1] = doc
+        places[run].append(len(least) - 1)
+    whole = bytes(sizes), pa.compress(b"".join(rest), "zstd", asbytes=True), np.array(least, np.int64).tobytes()
+    return whole, [np.array(p, np.uint32).tobytes() for p in places], bytes(windows)
+
+
+def _merge_in_levels(hot: DataFrame, scratch: Scratch, blocks: int, fan_in: int) -> DataFrame:
+    """What ``_merge`` gives, for anchors of any number of blocks: no task merges more than about ``fan_in`` runs."""
+    names = ["kind", "part", "block", "parent", "run_sizes", "rest", "docs"]
+    types = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3]
+
+    def merge(table: pa.Table) -> pa.Table:
+        release_memory()
+        part, parent = table.column("part")[0].as_py(), table.column("parent")[0].as_py()
+        whole, places, windows = one_run(list(zip(*(table.column(c).to_pylist() for c in ("run_sizes", "rest", "docs")), strict=True)))
+        rows = [(1, part, block, parent, place, windows, None) for block, place in zip(table.column("block").to_pylist(), places, strict=True)]
+        return pa.Table.from_batches([_rows(names, types, [(0, part, parent, None, *whole), *rows])])
+
+    def hand_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, block, places, windows, least, detail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least, detail, width = np.frombuffer(least, np.int64), np.frombuffer(detail, np.int64), np.frombuffer(windows, np.uint8).astype(np.int64)
+                width = np.where(least == MIXED, width, 0)
+                begin, places = np.cumsum(width) - width, np.frombuffer(places, np.uint32)
+                own = [detail[b : b + w] for b, w in zip(begin[places].tolist(), width[places].tolist(), strict=True) if w]
+                rows.append((part, block, least[places].tobytes(), np.concatenate([np.zeros(0, np.int64), *own]).tobytes()))
+            yield _rows(["part", "block", "least", "detail"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+
+    runs, levels = hot.select("part", "block", "run_sizes", "rest", "docs"), []
+    while blocks > fan_in:
+        blocks = -(-blocks // fan_in)
+        dealt = runs.withColumn("parent", F.pmod(F.xxhash64("block"), F.lit(blocks)))
+        level = scratch.save(dealt.groupBy("part", "parent").applyInArrow(merge, "kind int, part long, block long, parent long, run_sizes binary, rest binary, docs binary"), "level")
+        levels.append(level.where("kind = 1").select("part", "block", "parent", F.col("run_sizes").alias("places"), F.col("rest").alias("windows")))
+        runs = level.where("kind = 0").select("part", "block", "run_sizes", "rest", "docs")
+    answers = scratch.save(_merge(runs), "hot")
+    for level in reversed(levels):
+        above = answers.select("part", F.col("block").alias("parent"), "least", "detail")
+        joined = level.join(above, ["part", "parent"]).select("part", "block", "places", "windows", "least", "detail")
+        answers = scratch.save(joined.mapInArrow(hand_down, "part long, block long, least binary, detail binary"), "hot")
+    return answers
+
+
+def _covered(block: Block, chosen: np.ndarray, places: bytes, answers: list[dict]) -> list[np.ndarray]:
+    """The starts, in the block, of the windows that go, of the anchors ``chosen``."""
+    if not len(chosen):
+        return []
+    answers = sorted(answers, key=lambda a: a["part"])
+    least = np.concatenate([np.frombuffer(a["least"], np.int64) for a in answers])
+    place = np.frombuffer(places, np.uint32)
+    counts = block.last[chosen] - block.first[chosen] + 1
+    own = block.ids[block.owner[chosen]]
+    doc = least[place]
+    whole = (doc != MIXED) & (doc < own)
+    firsts, n = block.first[chosen[whole]], counts[whole]
+    ends = np.cumsum(n)
+    gone = [np.repeat(firsts - ends + n, n) + np.arange(int(n.sum()))]
+    # Keys whose windows differ have their answers in detail, in the order of the keys.
+    mixed = np.flatnonzero(doc == MIXED)
+    if len(mixed):
+        detail = np.concatenate([np.frombuffer(a["detail"], np.int64) for a in answers])
+        width = np.zeros(len(least), np.int64)
+        width[place[mixed]] = counts[mixed]
+        begin = np.cumsum(width) - width
+        n = counts[mixed]
         ends = np.cumsum(n)
-        gone.append(np.repeat(firsts - ends + n, n) + np.arange(int(n.sum())))
-        # Keys whose windows differ have their answers in detail, in the order of the keys.
-        mixed = np.flatnonzero(doc == MIXED)
-        if len(mixed):
-            detail = np.concatenate([np.frombuffer(a["detail"], np.int64) for a in answers])
-            width = np.zeros(len(least), np.int64)
-            width[place[mixed]] = counts[mixed]
-            begin = np.cumsum(width) - width
-            n = counts[mixed]
-            ends = np.cumsum(n)
-            offset = np.arange(int(n.sum())) - np.repeat(ends - n, n)
-            hit = detail[np.repeat(begin[place[mixed]], n) + offset] < np.repeat(own[mixed], n)
-            gone.append((np.repeat(block.first[chosen[mixed]], n) + offset)[hit])
-    if hot:
-        strings, ids = {h["rest"]: h["doc"] for h in hot}, block.ids.tolist()
-        gone.append(np.array([start for owner, start, string in block.hot_windows(marks) if strings[string] < ids[owner]], np.int64))
-    return np.concatenate(gone)
+        offset = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+        hit = detail[np.repeat(begin[place[mixed]], n) + offset] < np.repeat(own[mixed], n)
+        gone.append((np.repeat(block.first[chosen[mixed]], n) + offset)[hit])
+    return gone
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -518,10 +567,11 @@ def _removed(ready: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, blob, pairs, places, answers, hot in _one_by_one(batch):
+            for ids, sizes, blob, pairs, places, hot_places, answers, hot in _one_by_one(batch):
                 block, marks = Block(ids, sizes, blob), _joined_marks(pairs or [])
                 change = np.zeros(len(block.data) + 1, np.int32)
-                starts = _covered(block, marks, places, answers or [], hot or [])
+                parts = [_covered(block, block.marked(marks, mark), p, found or []) for mark, p, found in ((1, places, answers), (2, hot_places, hot))]
+                starts = np.concatenate([np.zeros(0, np.int64), *parts[0], *parts[1]])
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + LENGTH, -1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -541,24 +591,23 @@ def _removed(ready: DataFrame) -> DataFrame:
                     rows.append((None if key == LATEST else key, n, spans, kept[at - int(lost[at]) : end - int(lost[end])]))
                 yield _rows(names, [pa.int64(), pa.int64(), spans_type, pa.binary()], rows)
 
-    return ready.select("ids", "sizes", "blob", "pairs", "places", "answers", "hot").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return ready.select("ids", "sizes", "blob", "pairs", "places", "hot_places", "answers", "hot").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, spans (removed) and kept (the remaining bytes) of every document."""
     scratch = Scratch(spark, "suffixes")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, total // BUCKET_BYTES + 1)
-    bits = max(6, int(total // RANGE_BYTES).bit_length())
+    buckets = min(MOST_BUCKETS, max(64, total // BUCKET_BYTES + 1))
+    bits = min(MOST_RANGE_BITS, max(6, int(total // RANGE_BYTES).bit_length()))
     blocks = save_bucketed(spark, _gather(docs, block_bytes), scratch, "block", buckets)
     marks = scratch.save(_mark_anchors(_anchor_ranges(blocks, bits), hot_blocks), "marks")
     pairs = marks.groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("pairs"))
     runs = scratch.save(_send_runs(blocks.join(pairs, "block"), bits), "runs")
-    answers = scratch.save(_merge(runs), "answers").groupBy("block").agg(F.collect_list(F.struct("part", "least", "detail")).alias("answers"))
-    own = runs.where("kind = 1").select("block", "rest", "doc")
-    best = own.groupBy("rest").agg(F.min("doc").alias("doc"))
-    hot = own.select("block", "rest").join(best, "rest").groupBy("block").agg(F.collect_list(F.struct("rest", "doc")).alias("hot"))
-    places = runs.where("kind = 2").select("block", F.col("rest").alias("places"))
+    gathered = lambda found, name: found.groupBy("block").agg(F.collect_list(F.struct("part", "least", "detail")).alias(name))
+    answers = gathered(scratch.save(_merge(runs.where("kind = 1")), "answers"), "answers")
+    hot = gathered(_merge_in_levels(runs.where("kind = 2"), scratch, blocks.count(), max(2, hot_blocks)), "hot")
+    places = runs.where("kind = 0").select("block", F.col("rest").alias("places"), F.col("docs").alias("hot_places"))
     ready = blocks.join(places, "block", "left").join(pairs, "block", "left").join(answers, "block", "left").join(hot, "block", "left")
     return _removed(ready)
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -35,7 +36,7 @@ def check(spark, texts, **kw):
     assert got == brute(texts)
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_bytes": 3000, "hot_blocks": 1}, {"block_bytes": 2000}])
+@pytest.mark.parametrize("kw", [{}, {"block_bytes": 3000, "hot_blocks": 1}, {"block_bytes": 2000}, {"block_bytes": 400, "hot_blocks": 2}])
 def test_passages_copies_and_periods(spark, kw):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdeé ", k=rng.randint(2, 9)))
@@ -66,6 +67,40 @@ def test_odd_rows(spark, odd, none):
     assert rows(spark, none) == []
 
 
+def test_known_prefixes_are_not_read_again():
+    class Watched(bytes):
+        def __getitem__(self, at):
+            assert (at.start if isinstance(at, slice) else at) >= 5
+            return bytes.__getitem__(self, at)
+
+    for a, b in ((b"12345678", b"12345678"), (b"123456789012345x", b"123456789012345y"), (b"12345", b"123456"), (b"12345a", b"12345b")):
+        assert S.shared(Watched(a), Watched(b), 5) == len(os.path.commonprefix([a, b]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_merged_in_levels_give_the_answers_of_one_merge(spark, seed):
+    rng = random.Random(seed)
+    letters = [bytes(rng.choices(b"ab", k=S.GRAM)) for _ in range(3)]
+
+    def key():
+        right, left = S.LENGTH - rng.randint(0, 2), rng.randint(2, 4)
+        body = rng.choice(letters) + bytes(rng.choices(b"xy", k=1)) * (right - S.GRAM) + bytes(rng.choices(b"uv", k=left))
+        return body + bytes([right])
+
+    rows = []
+    for block in range(23):
+        for part in range(2):
+            keys = sorted({key() for _ in range(rng.randint(1, 9))})
+            table = np.zeros((len(keys), S.KEY), np.uint8)
+            for row, k in zip(table, keys, strict=True):
+                row[: len(k)] = np.frombuffer(k, np.uint8)
+            coded = S.front_code(table, np.array([len(k) for k in keys], np.int64))
+            rows.append((part, block, bytearray(coded[0]), bytearray(coded[1]), bytearray(np.array([rng.randint(0, 99) for _ in keys], np.int64).tobytes())))
+    frame = spark.createDataFrame(rows, "part long, block long, run_sizes binary, rest binary, docs binary")
+    found = lambda out: {(r["part"], r["block"]): (bytes(r["least"]), bytes(r["detail"])) for r in out.collect()}
+    assert found(S._merge_in_levels(frame, S.Scratch(spark, "t"), 23, 3)) == found(S._merge(frame))
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_merge_is_a_merge(seed):
     rng = random.Random(seed)
