@@ -32,9 +32,11 @@ _LOWER_SPACE = ASCII_LOWER | ASCII_SPACE
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is named."""
+    """The shared folder of the session; a temporary one is set only where none is named and driver and tasks share a machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -112,7 +112,7 @@ def test_odd_rows(spark, odd, none):
 def test_weights_are_the_scores_in_any_script(spark):
     table = np.zeros(quality.BUCKETS, np.float32)
     for text, value in (("好 的 文 字", 9.0), ("plain words", 9.0), ("bad bad", -9.0)):
-        table[np.unique(quality.features([text.encode()])[0])] = value
+        table[np.unique(quality.features([text])[0])] = value
     docs = spark.createDataFrame([(i, t, "s") for i in range(900) for t in ("好 的 文 字", "plain words", "bad bad")], "doc_id long, text string, source string")
     rows = mixing.keyed(spark, docs, (table, 0.0), mixing.Scratch(spark, "t")).collect()
     mean = {n: np.mean([r["key"] for r in rows if r["size"] == n]) for n in (4, 2)}
