@@ -8,8 +8,10 @@ bits, so each block fills two bytes and never needs byte stuffing.  Frames at
 one eighth scale (the DC image) are what shot detection reads.
 
 Nulls count as empty texts, whose payload is 64 zero bytes.  Equal texts give
-equal files.  A RIFF file holds at most 4 GiB, hence a payload 1 GB: longer
-ones raise ``ValueError``.
+equal files, repeated rows a row each.  Very long texts become several RIFF
+segments of SEGMENT_BYTES, as a RIFF list holds at most 4 GiB.  Frames at equal
+distance to their history are no cut.  An empty table gives an empty result.
+Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sheetwright.llm.common import short_batches
+from sheetwright.llm.common import release_memory, short_batches
 
 UNIT = 64
 WIDTH = 64  # samples in a row of a frame
 ROWS = 64  # rows in a full frame
 FPS = 25
 BINS = 16
+#: Frame bytes of a RIFF segment at most.
+SEGMENT_BYTES = 1 << 30
+#: File bytes that a batch gathers before it is handed on.
+HELD_BYTES = 8 << 20
 _ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 _DC_CODES = ((7, (8,)), (8, tuple(range(8))))  # (bits, categories)
 _AC_CODES = ((1, (0,)),)
@@ -59,8 +65,6 @@ def _block_words() -> np.ndarray:
 
 _WORDS = _block_words()
 _WORD_BYTES = _WORDS.astype(">u2").view(np.uint8).reshape(256, 2)
-_SAMPLES = np.full(65536, -1, np.int16)
-_SAMPLES[_WORDS] = np.arange(256)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -148,21 +152,50 @@ def _parse(data: bytes) -> tuple[dict, bytes]:
     raise JpegError("no scan")
 
 
-_OWN_DC, _OWN_AC = _dht(0x00, _DC_CODES), _dht(0x10, _AC_CODES)
+@lru_cache(maxsize=64)
+def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By the next 16 bits: length and symbol of the Huffman code they begin with; length 0 where none fits."""
+    bits, symbols = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+    for (n, code), symbol in _huffman(table).items():
+        bits[code << 16 - n : code + 1 << 16 - n] = n
+        symbols[code << 16 - n : code + 1 << 16 - n] = symbol
+    return bits, symbols
 
 
-def _fixed_blocks(info: dict, scan: bytes) -> np.ndarray | None:
-    """The DC image of frames whose blocks all fill two bytes and a restart marker, else None."""
-    if info["restart"] != 1 or len(info["parts"]) != 1 or info["raw"].get(0) != _OWN_DC or info["raw"].get(0x10) != _OWN_AC or info["quant"].get(0, [0])[0] != 8:
+def _flat_blocks(info: dict, scan: bytes) -> np.ndarray | None:
+    """The DC image of a greyscale frame that restarts after every block, if all its blocks are flat and end within seven
+    bytes; else None.  All restart intervals are decoded at once, a code at a time."""
+    if info["restart"] != 1 or len(info["parts"]) != 1 or len(info["scan"]) != 1:
+        return None
+    quant, tables = info["quant"].get(info["parts"][0][2]), info["scan"][0][1]
+    if quant is None or tables >> 4 not in info["raw"] or 0x10 | tables & 15 not in info["raw"]:
         return None
     rows, columns = -(-info["height"] // 8), -(-info["width"] // 8)
-    if len(scan) != 4 * rows * columns - 2:
+    data = np.frombuffer(scan + b"\xff" * 8, np.uint8)
+    marks = np.flatnonzero((data[: len(scan)] == 0xFF) & (data[1 : len(scan) + 1] & 0xF8 == 0xD0))
+    starts, ends = np.concatenate([[0], marks + 2]), np.concatenate([marks, [len(scan)]])
+    stuffed = np.count_nonzero((data[: len(scan)] == 0xFF) & (data[1 : len(scan) + 1] == 0))
+    if len(starts) != rows * columns or stuffed or (ends - starts).max() > 7 or (data[marks + 1] != 0xD0 + (np.arange(len(marks)) & 7)).any():
+        return None
+    room = (ends - starts).astype(np.uint64) * np.uint64(8)
+    word = np.zeros(len(starts), np.uint64)
+    for i in range(int((ends - starts).max())):
+        byte = np.where(starts + i < ends, data[starts + i], 0xFF).astype(np.uint64)
+        word |= byte << np.uint64(56 - 8 * i)
+    peek = (word >> np.uint64(48)).astype(np.int64)
+    length, size = (t[peek].astype(np.uint64) for t in _lookup(info["raw"][tables >> 4][1:]))
+    if not length.all() or size.max() > 11:
         return None
-    blocks = np.frombuffer(scan + b"\xff" + bytes([0xD0 + (rows * columns - 1) % 8]), np.uint8).reshape(-1, 4)
-    samples = _SAMPLES[blocks[:, 0].astype(np.uint16) << 8 | blocks[:, 1]]
-    if (samples < 0).any() or (blocks[:, 2] != 0xFF).any() or (blocks[:, 3] != 0xD0 + (np.arange(len(blocks)) & 7)).any():
+    word <<= length
+    extra = np.where(size > 0, word >> (np.uint64(64) - np.maximum(size, np.uint64(1))), np.uint64(0)).astype(np.int64)
+    word <<= size
+    end_bits, end = (t[(word >> np.uint64(48)).astype(np.int64)] for t in _lookup(info["raw"][0x10 | tables & 15][1:]))
+    used = length + size + end_bits
+    if not end_bits.all() or end.any() or (used > room).any() or (room - used > 7).any():
         return None
-    return samples.astype(np.uint8).reshape(rows, columns)
+    signed = np.where((size > 0) & (extra >> np.maximum(size.astype(np.int64) - 1, 0) == 0), extra - (1 << size.astype(np.int64)) + 1, extra)
+    pixels = np.rint(signed * quant[0] / 8 + 128)
+    return np.clip(pixels, 0, 255).astype(np.uint8).reshape(rows, columns)
 
 
 def _coefficients(info: dict, scan: bytes) -> dict[int, np.ndarray]:
@@ -239,7 +272,7 @@ _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u ==
 def decode_frame(data: bytes, dc_only: bool = False) -> np.ndarray:
     """The luma plane of a baseline frame; with ``dc_only`` one pixel per 8x8 block (its mean)."""
     info, scan = _parse(data)
-    fast = _fixed_blocks(info, scan)
+    fast = _flat_blocks(info, scan)
     if fast is not None:
         return fast if dc_only else np.kron(fast, np.ones((8, 8), np.uint8))[: info["height"], : info["width"]]
     luma = _coefficients(info, scan)[info["parts"][0][0]]
@@ -254,31 +287,48 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
-def write_avi(frames: list[bytes], width: int, height: int, payload_bytes: int, fps: int = FPS) -> bytes:
-    """A RIFF AVI file with one MJPG stream and an idx1 index."""
+def write_avi(frames: list[bytes], width: int, height: int, payload_bytes: int, fps: int = FPS, segment_bytes: int | None = None) -> bytes:
+    """A RIFF AVI file with one MJPG stream and an idx1 index; frames beyond ``segment_bytes`` go on in AVIX segments."""
+    segments, held = [[]], 0
+    for frame in frames:
+        if segments[-1] and held + len(frame) + 24 > (segment_bytes or SEGMENT_BYTES):
+            segments.append([])
+            held = 0
+        segments[-1].append(frame)
+        held += len(frame) + 24
     largest = max(map(len, frames))
-    avih = struct.pack("<14I", 1_000_000 // fps, largest * fps, 0, 0x10, len(frames), 0, 1, largest, width, height, 0, 0, 0, 0)
+    avih = struct.pack("<14I", 1_000_000 // fps, min(largest * fps, (1 << 32) - 1), 0, 0x10, len(segments[0]), 0, 1, largest, width, height, 0, 0, 0, 0)
     strh = struct.pack("<4s4sIHHIIIIIIiI4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, fps, 0, len(frames), largest, -1, 0, 0, 0, width & 0xFFFF, height & 0xFFFF)
     strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     header = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf)))
-    own = _chunk(b"plen", struct.pack("<Q", payload_bytes))
-    movi, index, at = [], [], 4
-    for frame in frames:
-        piece = _chunk(b"00dc", frame)
-        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(frame)))
-        movi.append(piece)
-        at += len(piece)
-    body = b"AVI " + header + own + _chunk(b"LIST", b"movi" + b"".join(movi)) + _chunk(b"idx1", b"".join(index))
-    if len(body) >= 1 << 32:
-        raise ValueError("a RIFF file holds at most 4 GiB")
-    return _chunk(b"RIFF", body)
+    head = b"AVI " + header + _chunk(b"plen", struct.pack("<Q", payload_bytes))
+    out = []
+    for segment in segments:
+        movi, index, at = [], [], 4
+        for frame in segment:
+            piece = _chunk(b"00dc", frame)
+            index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(frame)))
+            movi.append(piece)
+            at += len(piece)
+        out.append(_chunk(b"RIFF", head + _chunk(b"LIST", b"movi" + b"".join(movi)) + _chunk(b"idx1", b"".join(index))))
+        head = b"AVIX"
+    return b"".join(out)
 
 
 def read_avi(data: bytes) -> tuple[dict, list[bytes]]:
-    """Header values and the frames, found by idx1 (or by walking movi where there is none)."""
+    """Header values and the frames of all segments, found by idx1 (or by walking movi where there is none)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not a RIFF AVI file")
     info: dict = {"fps": FPS, "payload_bytes": None}
+    frames, at = [], 0
+    while at + 12 <= len(data) and data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        frames += _segment_frames(data, at + 12, min(len(data), at + 8 + size), info)
+        at += 8 + size + (size & 1)
+    return info, frames
+
+
+def _segment_frames(data: bytes, begin: int, stop: int, info: dict) -> list[bytes]:
     movi, index = None, None
 
     def walk(at: int, end: int) -> None:
@@ -301,9 +351,9 @@ def read_avi(data: bytes) -> tuple[dict, list[bytes]]:
                 index = (body, size // 16)
             at = body + size + (size & 1)
 
-    walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
+    walk(begin, stop)
     if movi is None:
-        return info, []
+        return []
     frames = []
     if index:
         entries = [struct.unpack_from("<4sIII", data, index[0] + 16 * i) for i in range(index[1])]
@@ -321,7 +371,7 @@ def read_avi(data: bytes) -> tuple[dict, list[bytes]]:
             if data[at + 2 : at + 4] in (b"dc", b"db"):
                 frames.append(data[at + 8 : at + 8 + size])
             at += 8 + size + (size & 1)
-    return info, frames
+    return frames
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -345,12 +395,13 @@ def load(media: bytes) -> tuple[bytes, list[np.ndarray], float]:
     return b"".join(i.tobytes() for i in images)[: info["payload_bytes"]], images, info["fps"]
 
 
-def shots(images: list[np.ndarray], window: int = 8, factor: float = 3.0, floor: float = 0.08) -> list[tuple[int, int]]:
+def shots(images: list[np.ndarray], window: int = 8, factor: float = 3.0, floor: float = 0.08, first: float = 0.35) -> list[tuple[int, int]]:
     """[first, last + 1) frame ranges.
 
     A cut is where half the L1 distance of consecutive histograms exceeds the
-    mean plus ``factor`` deviations of the distances of the last ``window``
-    frames, and ``floor`` at least.
+    mean plus ``factor`` deviations of the last ``window`` distances that were
+    no cuts (of this shot and those before), and ``floor`` at least.  While
+    fewer than two are known the threshold is ``first``.
     """
     if not images:
         return []
@@ -359,9 +410,8 @@ def shots(images: list[np.ndarray], window: int = 8, factor: float = 3.0, floor:
     for at in range(1, len(images)):
         d = float(np.abs(histograms[at] - histograms[at - 1]).sum() / 2)
         tail = recent[-window:]
-        if d > floor and (not tail or d > np.mean(tail) + factor * np.std(tail)):
+        if d > (max(floor, float(np.mean(tail) + factor * np.std(tail))) if len(tail) > 1 else first):
             starts.append(at)
-            recent = []
         else:
             recent.append(d)
     return list(zip(starts, [*starts[1:], len(images)], strict=True))
@@ -394,37 +444,43 @@ def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, media) AVI files of whole texts."""
+    """(id, n_bytes, media): the AVI files of whole texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # files are four times their texts
-                part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([store(payload_of(t)[1]) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "media"])
-
-    return short_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+            ids, sizes, files, held = [], [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, payload = payload_of(text)
+                ids.append(key)
+                sizes.append(n)
+                files.append(store(payload))
+                held += len(files[-1])
+                if held > HELD_BYTES:  # files are four times their texts
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
+                    ids, sizes, files, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
+        release_memory()
 
+    return short_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
-def media_digest(docs: DataFrame) -> DataFrame:
-    """The query's row per document: each text is stored, its stored bytes are read back, and both are described.
 
-    Storing and reading back share one pass, so that no media column is shuffled or kept.
-    """
+def media_digest(media: DataFrame) -> DataFrame:
+    """The query's row for each file of ``media`` (doc_id, n_bytes, media), read back from its stored bytes."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, payload = payload_of(text)
-                media = store(payload)
-                back, images, fps = load(media)
+            for i in range(batch.num_rows):
+                key, n, stored = (c[i].as_py() for c in batch.columns)
+                back, images, fps = load(stored)
                 cuts = shots(images)
                 feature = f"frames={len(images)};clips=" + ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in cuts) + f";luma={sum(map(int, (i.sum(dtype=np.int64) for i in images))) / max(1, sum(i.size for i in images)):.3f}"
-                rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        release_memory()
 
-    return short_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return short_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -37,7 +37,7 @@ def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.media_digest(documents(spark, sf_dir))
+    return avi.media_digest(avi.text_media(documents(spark, sf_dir)))
 
 
 def op8_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,13 +61,60 @@ def test_shots():
     assert avi.shots([a]) == [(0, 1)] and avi.shots([]) == []
 
 
+def test_no_cut_after_a_cut_without_evidence():
+    mixed = lambda share: np.where(np.arange(512) < 512 * share, 200, 20).astype(np.uint8).reshape(8, 64)
+    restless = [mixed(0.3 + 0.1 * (i % 2)) for i in range(6)] + [mixed(0.8 + 0.1 * (i % 2)) for i in range(6)]
+    assert avi.shots(restless) == [(0, 6), (6, 12)]
+    assert avi.shots(restless[6:8]) == [(0, 2)]
+
+
+def test_long_files_go_on_in_further_segments():
+    payload = bytes(range(256)) * 200
+    samples = np.frombuffer(payload, np.uint8)[: 12 * 4096].reshape(-1, 64, 64)
+    frames = [avi.encode_frame(s) for s in samples]
+    whole = avi.write_avi(frames, 512, 512, 12 * 4096)
+    parts = avi.write_avi(frames, 512, 512, 12 * 4096, segment_bytes=3 * len(frames[0]))
+    assert parts.count(b"AVIX") == 5 and avi.read_avi(parts) == avi.read_avi(whole)
+    assert avi.read_avi(parts.replace(b"idx1", b"JUNK"))[1] == frames
+    assert avi.load(parts)[0] == payload[: 12 * 4096]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parallel_decoding_equals_the_general_decoder(seed):
+    """Flat blocks under other tables and another quantiser, restarting after each."""
+    rng = np.random.default_rng(seed)
+    dc = ((2, (0, 3)), (3, (1, 5)), (5, (2, 4, 6, 7)))
+    codes = {v: k for k, v in avi._huffman(avi._dht(0, dc)[1:]).items()}
+    ac = ((2, (0x11, 0x00)),)
+    quant, n = int(rng.integers(1, 30)), 6 * 5
+    pieces, values = [], []
+    for i in range(n):
+        size = int(rng.choice(list(codes)))
+        low = 1 << size - 1 if size else 0
+        value = int(rng.integers(low, 1 << size)) * (1 if rng.random() < 0.5 else -1) if size else 0
+        bits = format(codes[size][1], f"0{codes[size][0]}b") + (format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else "") + "01"
+        bits += "1" * (-len(bits) % 8)
+        piece = int(bits, 2).to_bytes(len(bits) // 8, "big")
+        values.append(value)
+        pieces.append(piece + (bytes([0xFF, 0xD0 + i % 8]) if i < n - 1 else b""))
+    head = b"\xff\xd8" + avi._segment(0xDB, bytes([1]) + bytes([quant] * 64)) + avi._segment(0xC0, struct.pack(">BHHB3B", 8, 40, 48, 1, 1, 0x11, 1))
+    head += avi._segment(0xC4, avi._dht(0x01, dc)) + avi._segment(0xC4, avi._dht(0x12, ac)) + avi._segment(0xDD, b"\0\1") + avi._segment(0xDA, b"\x01\x01\x12\x00\x3f\x00")
+    info, scan = avi._parse(head + b"".join(pieces) + b"\xff\xd9")
+    want = np.clip(np.rint(avi._coefficients(info, scan)[1][:, :, 0] / 8 + 128), 0, 255)
+    fast = avi._flat_blocks(info, scan)
+    if any(b"\xff" in p[: -2 if i < n - 1 else None] for i, p in enumerate(pieces)):
+        assert fast is None or (fast == want).all()
+    else:
+        assert (fast == want).all() and want.reshape(-1).tolist() == np.clip(np.rint(np.array(values) * quant / 8 + 128), 0, 255).tolist()
+
+
 def test_clips_and_digest(spark, odd, none):
     media = avi.text_media(odd)
     clips = avi.clips(media, "doc_id", "media").collect()
     assert {r["doc_id"] for r in clips} == {r["doc_id"] for r in odd.collect()} and all(r["error"] is None and r["end_s"] > r["start_s"] for r in clips)
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"nonsense"))], "doc_id long, media binary")
     assert [(r["doc_id"], bool(r["error"])) for r in avi.clips(broken, "doc_id", "media").collect()] == [(2, True)]
-    rows = avi.media_digest(odd).collect()
+    rows = avi.media_digest(avi.text_media(odd)).collect()
     assert len(rows) == odd.count()
     for r in rows:
         text = next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"])
@@ -76,4 +123,4 @@ def test_clips_and_digest(spark, odd, none):
         assert r["media_sha256"] == hashlib.sha256(avi.store(payload)).hexdigest()
     same = [r for r in rows if r["doc_id"] in (1, 2)]
     assert len({(r["media_sha256"], r["feature"]) for r in same}) == 1
-    assert avi.media_digest(none).count() == 0
+    assert avi.media_digest(avi.text_media(none)).count() == 0
