@@ -18,7 +18,11 @@ apart is confirmed or refused on full sets.
 
 Texts without words link with nothing.  Rows with equal ids are versions of
 one document: a link of either is a link of the id.  Null texts count as
-empty; null ids follow the copies they equal.
+empty; null ids follow the copies they equal.  Of equally near signatures the
+least id is compared first, which changes no group.  Very long texts are read
+whole and full sets compared in groups bounded by bytes.  Only the id and the
+text are read, so other columns can't clash.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ BINS = 256
 #: Ids up to this many (8 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 CHUNK_BYTES = 1 << 20
+#: Full sets that are compared in one group: of two chunks of so many ids and bytes (or one larger set) at most.
+SET_IDS, SET_BYTES = 512, 16 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _ODD = np.uint64(_BASE)
@@ -237,13 +243,13 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame,
     own = own.join(leads, "lead", "left").select("key", "id", "component", (F.col("component") == F.coalesce("_c", "lead")).alias("major"))
     stats = own.groupBy("key").agg(F.count_if("major").alias("n_major"), F.count_if(~F.col("major")).alias("n_minor")).where("n_minor > 0")
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    mixed = own.join(stats.select("key", blocks("n_major").alias("nb"), blocks("n_minor").alias("nm")), "key").join(entries.select("id", "sig", "bins"), "id")
+    mixed = own.join(stats.select("key", blocks("n_major").alias("nb"), blocks("n_minor").alias("nm")), "key").join(entries.select("id", "sig", "bins", "n"), "id")
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    major = mixed.where("major").select("*", at("nb").alias("i")).select("key", "id", "component", "sig", "bins", F.lit(0).alias("side"), F.lit(0).alias("kind"), "i", F.explode(every("nm")).alias("j"))
+    major = mixed.where("major").select("*", at("nb").alias("i")).select("key", "id", "component", "sig", "bins", "n", F.lit(0).alias("side"), F.lit(0).alias("kind"), "i", F.explode(every("nm")).alias("j"))
     minor = mixed.where("not major").select("*", at("nm").alias("me"))
-    against = minor.select("key", "id", "component", "sig", "bins", F.lit(1).alias("side"), F.lit(0).alias("kind"), F.explode(every("nb")).alias("i"), F.col("me").alias("j"))
-    among = minor.where("nm > 0").select("key", "id", "component", "sig", "bins", "me", F.explode(every("nm")).alias("o")).select("key", "id", "component", "sig", "bins", F.when(F.col("me") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"), F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"))
+    against = minor.select("key", "id", "component", "sig", "bins", "n", F.lit(1).alias("side"), F.lit(0).alias("kind"), F.explode(every("nb")).alias("i"), F.col("me").alias("j"))
+    among = minor.where("nm > 0").select("key", "id", "component", "sig", "bins", "n", "me", F.explode(every("nm")).alias("o")).select("key", "id", "component", "sig", "bins", "n", F.when(F.col("me") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(1).alias("kind"), F.least("me", "o").alias("i"), F.greatest("me", "o").alias("j"))
     group = ["key", "kind", "i", "j"]
     columns = ['grp', 'ids', 'components', 'pairs']
     dealt = major.unionByName(against).unionByName(among).repartition(*group).sortWithinPartitions(*group)
@@ -274,7 +280,7 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, group):
-            key, kind, i, j, ids, component, side = (rows.column(c).to_numpy() for c in ("key", "kind", "i", "j", "id", "component", "side"))
+            key, kind, i, j, ids, component, side, size = (rows.column(c).to_numpy() for c in ("key", "kind", "i", "j", "id", "component", "side", "n"))
             sig, bins, found = _matrix(rows.column("sig")), np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS), []
             packed: list[list] = [[], [], [], []]
             for a, b in group_bounds(rows, group):
@@ -285,9 +291,8 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame,
                     found.append((ids[a:b][x], ids[a:b][y], far))
                     continue
                 own = first_key(sig[a:b][x], sig[a:b][y]) == key[a] >> 48
-                if own.any():
-                    used, places = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
-                    values = (hash((int(key[a]), int(kind[a]), int(i[a]), int(j[a]))), ids[a:b][used].tolist(), component[a:b][used].tolist(), places.astype(np.int32).tobytes())
+                for number, used, places in in_set_groups(x[own], y[own], size[a:b]):
+                    values = (hash((int(key[a]), int(kind[a]), int(i[a]), int(j[a]), number)), ids[a:b][used].tolist(), component[a:b][used].tolist(), places.astype(np.int32).tobytes())
                     for column, value in zip(packed, values, strict=True):
                         column.append(value)
             if packed[0]:
@@ -305,6 +310,21 @@ def _cross_pairs(members: DataFrame, components: DataFrame, entries: DataFrame,
     return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def in_set_groups(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, rows, pairs as places in rows, all left ones first) of the groups in which the pairs (x, y) are compared: the
+    rows are cut into chunks of SET_IDS ids and SET_BYTES of sets, and a group has the pairs between two chunks."""
+    if not len(x):
+        return
+    used, places = np.unique(np.concatenate([x, y]), return_inverse=True)
+    chunk = np.cumsum(8 * sizes[used]) // SET_BYTES * (len(used) // SET_IDS + 1) + np.arange(len(used)) // SET_IDS
+    left, right = places[: len(x)], places[len(x) :]
+    groups, of = np.unique(np.stack([chunk[left], chunk[right]]), axis=1, return_inverse=True)
+    for number in range(groups.shape[1]):
+        mine = np.flatnonzero(of.reshape(-1) == number)
+        rows, inside = np.unique(np.concatenate([left[mine], right[mine]]), return_inverse=True)
+        yield number, used[rows], inside
+
+
 def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The leading part of the first key that each pair of signatures shares (of those that share one)."""
     equal = (a == b).reshape(len(a), CHUNKS, WIDTH)
@@ -326,7 +346,7 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
 def _confirm_packed(docs: DataFrame, packed: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links that join the components of each block pair, confirmed on full sets.
 
-    The sets of a row's ids are brought to it; a pair whose components are
+    The sets of a row's ids, bounded by SET_IDS and SET_BYTES, are brought to it; a pair whose components are
     joined by then needs no look, so a row gives fewer links than it has ids.
     """
     ids = scratch.save(packed.select(F.explode("ids").alias("id")).distinct(), "ids")
@@ -404,7 +424,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = docs.select("doc_id", "text")
     described = scratch.save(describe(docs), "described")
-    entries = scratch.save(described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("bins").alias("bins")), "entries")
+    entries = scratch.save(described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("bins").alias("bins"), F.min("n_shingles").alias("n")), "entries")
     posted = scratch.save(postings(entries), "postings")
     shared = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     members = scratch.save(posted.join(shared, "key"), "members")

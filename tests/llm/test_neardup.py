@@ -63,6 +63,9 @@ def near_copies(n, seed, words=120, edits=6):
 @pytest.mark.parametrize("block", [1024, 16])
 def test_a_group_of_near_copies_around_the_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    if block == 16:
+        monkeypatch.setattr(neardup, "SET_IDS", 5)
+        monkeypatch.setattr(neardup, "SET_BYTES", 2000)
     texts = near_copies(150, 4) | {1000 + k: v for k, v in near_copies(40, 5, words=40, edits=3).items()}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     check(spark, frame, texts)
@@ -117,8 +120,23 @@ def test_unlike_bins_do_not_drop_a_pair(spark):
     components = spark.createDataFrame([], "node long, component long")
     sig = bytes(range(2 * neardup.COMPONENTS))
     bins = [bytes([b]) * neardup.BINS for b in (1, 1, 9)]
-    entries = spark.createDataFrame([(i + 1, bytearray(sig), bytearray(b)) for i, b in enumerate(bins)], "id long, sig binary, bins binary")
+    entries = spark.createDataFrame([(i + 1, bytearray(sig), bytearray(b), 9) for i, b in enumerate(bins)], "id long, sig binary, bins binary, n long")
     listed = []
     for r in neardup._cross_pairs(members, components, entries, None).collect():
         listed += [frozenset(r["ids"][int(x)] for x in p) for p in np.frombuffer(r["pairs"], np.int32).reshape(2, -1).T]
     assert set(listed) == {frozenset(p) for p in ((1, 2), (1, 3), (2, 3))}
+
+
+def test_set_groups_are_bounded_and_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(neardup, "SET_IDS", 7)
+    monkeypatch.setattr(neardup, "SET_BYTES", 4000)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 200, 60)
+    sizes[11] = 5000
+    x, y = rng.integers(0, 60, (2, 400))
+    found = []
+    for _, rows, places in neardup.in_set_groups(x, y, sizes):
+        assert len(rows) <= 14 and 8 * sizes[rows].sum() <= 2 * (4000 + 8 * 200) + (8 * 5000 if 11 in rows else 0)
+        found += list(zip(rows[places[: len(places) // 2]].tolist(), rows[places[len(places) // 2 :]].tolist(), strict=True))
+    assert sorted(found) == sorted(zip(x.tolist(), y.tolist(), strict=True))
+    assert not list(neardup.in_set_groups(x[:0], y[:0], sizes))
