@@ -103,3 +103,11 @@ SIGNATURES = {
     "signature_nasabah": ((0.2260, 0.7886, 0.4234, 0.7981), (0.1678, 0.7981, 0.4530, 0.8622)),
     "signature_atasan": ((0.6720, 0.7886, 0.7449, 0.7981), (0.5872, 0.7981, 0.8305, 0.8622)),
 }
+
+# The longer side of pages that are matched, the head's share of a page, and how far a field's search window
+# reaches beyond its box, as shares of the region's width and height.
+MATCH_SIDE, HEAD_SHARE = 1800, 0.10
+SEARCH_X, SEARCH_Y = 0.025, 0.02
+CLAMPED_REGION = "identity_area"
+#: The members of a result that may hold a field's value, the first that is not empty counts.
+VALUE_KEYS = ("ocr_result", "normalized_value", "value", "text", "label", "final_value")

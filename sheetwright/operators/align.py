@@ -90,7 +90,8 @@ def section_transforms(anchors: DataFrame, diagonal: float) -> DataFrame:
                 return _transform([*head, "section_affine", *m[0], *m[1], len(good)])
         return _transform([*head, "consensus_translation", 1.0, 0.0, good.dx.mean(), 0.0, 1.0, good.dy.mean(), len(good)])
 
-    return anchors.groupBy("doc_id", "section").applyInPandas(fit, "doc_id long, section string, method string, a double, b double, tx double, c double, d double, ty double, n int")
+    kind = anchors.schema["doc_id"].dataType.simpleString()
+    return anchors.groupBy("doc_id", "section").applyInPandas(fit, f"doc_id {kind}, section string, method string, a double, b double, tx double, c double, d double, ty double, n int")
 
 
 def _transform(values: list) -> pd.DataFrame:

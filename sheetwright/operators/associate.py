@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,13 +110,34 @@ def best_candidate(candidates: DataFrame, by: list[str], order: list[str], value
     return candidates.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("n"))
 
 
-def ratio_matches(left: DataFrame, right: DataFrame, distance: Column, ratio: float) -> DataFrame:
-    """Left rows whose nearest right row is nearer than ``ratio`` times the next.
+def ratio_matches(left: DataFrame, right: DataFrame, ratio: float, block: int = 512) -> DataFrame:
+    """Left rows whose nearest right row is nearer than ``ratio`` times the next: l_id, r_id, d1, d2, n.
 
-    left: key, l_*; right: id, r_* and a blocking ``key``.  Rows are compared
-    within a key; the two nearest come from a partial top-k, not a full sort.
+    left: key, l_id, l_e; right: key, r_id, r_e; unit vectors, compared within
+    a key by cosine distance, a row never with its own id.  Keys are dealt in
+    pairs of blocks of about ``block`` rows, so no task gets a key's pairs, and
+    a block pair gives the two nearest of each left row alone.
     """
-    pairs = left.join(right, "key").withColumn("distance", distance)
-    rank = F.row_number().over(Window.partitionBy("l_id").orderBy("distance", "r_id"))
-    two = pairs.withColumn("_n", rank).where("_n <= 2").groupBy("l_id").agg(F.min_by("r_id", F.struct("distance", "r_id")).alias("r_id"), F.min("distance").alias("d1"), F.max("distance").alias("d2"), F.count("*").alias("n"))
+    counts = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = counts(left, "_i").join(counts(right, "_j"), "key")
+    own = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l_rows = left.join(sizes, "key").select("key", own("l_id", "_i").alias("i"), every("_j").alias("j"), F.lit(0).alias("side"), F.col("l_id").alias("id"), F.col("l_e").alias("e"))
+    r_rows = right.join(sizes, "key").select("key", every("_i").alias("i"), own("r_id", "_j").alias("j"), F.lit(1).alias("side"), F.col("r_id").alias("id"), F.col("r_e").alias("e"))
+
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows.side == 0], rows[rows.side == 1].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"l_id": [], "r_id": [], "distance": []})
+        ids, others = a.id.to_numpy(), b.id.to_numpy()
+        distance = np.round(1 - np.stack(a.e.to_numpy()) @ np.stack(b.e.to_numpy()).T, 6)
+        distance[ids[:, None] == others[None, :]] = np.inf
+        first = np.argsort(distance, axis=1, kind="stable")[:, :2]  # the lesser id of equal distances
+        found = np.take_along_axis(distance, first, 1)
+        kept = np.isfinite(found)
+        return pd.DataFrame({"l_id": np.repeat(ids, first.shape[1])[kept.reshape(-1)], "r_id": others[first][kept], "distance": found[kept]})
+
+    pairs = l_rows.unionByName(r_rows).groupBy("key", "i", "j").applyInPandas(nearest, "l_id long, r_id long, distance double")
+    listed = pairs.groupBy("l_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "r_id"))), 1, 2).alias("_two"))
+    two = listed.select("l_id", F.col("_two")[0]["r_id"].alias("r_id"), F.col("_two")[0]["distance"].alias("d1"), F.element_at("_two", -1)["distance"].alias("d2"), F.size("_two").cast("long").alias("n"))
     return two.where((F.col("n") == 2) & (F.col("d1") < ratio * F.col("d2")))

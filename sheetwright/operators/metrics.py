@@ -182,3 +182,22 @@ def compare_runs(metrics: DataFrame, baseline: str) -> DataFrame:
     base = F.max(F.when(F.col("run") == baseline, number)).over(w)
     first = F.min("ord").over(w)
     return once.withColumns({"_base": base, "_number": number, "position": first}).select("metric", "run", "value", X.format_delta(F.col("_base"), F.col("_number")).alias("delta"), "position")
+
+
+def extracted_value(result: Column) -> Column:
+    """The value of a field's result (a map of strings): the first of VALUE_KEYS that is not empty."""
+    return F.coalesce(*[F.when(result[k] != "", result[k]) for k in C.VALUE_KEYS])
+
+
+def with_blank_rows(records: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """A row for every record: its results, or nulls where its run gave none (a sink writes them as N/A)."""
+    joined = records.join(results.withColumn("evaluated", F.lit(True)), key, "left")
+    return joined.withColumn("evaluated", F.coalesce("evaluated", F.lit(False)))
+
+
+def all_columns(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames with the union of their columns, in the order in which they first come."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out

@@ -18,14 +18,15 @@ def _kind_of(field: Column) -> Column:
 def match(rows: DataFrame, a: str, b: str, kind: str) -> DataFrame:
     """``rows`` with is_match and similarity: names by similarity of a to b, other types by equal normal forms.
 
-    An empty normal form never matches.  Names pass a Python function, so they
-    are split off before it: it sees no other rows.
+    An empty normal form never matches.  The Python function gets nulls for
+    rows that are no names, so the rows are neither split nor joined again.
     """
     forms = rows.withColumns({"_a": X.normalize_for_compare(F.col(a), F.col(kind)), "_b": X.normalize_for_compare(F.col(b), F.col(kind))})
     full = (F.col("_a") != "") & (F.col("_b") != "")
-    named = forms.where(F.coalesce(F.col(kind) == "name", F.lit(False)) & full).withColumn("similarity", name_similarity("_a", "_b")).withColumn("is_match", F.col("similarity") >= C.NAME_SIMILARITY)
-    others = forms.where(~(F.coalesce(F.col(kind) == "name", F.lit(False)) & full)).withColumns({"similarity": F.lit(None).cast("double"), "is_match": full & (F.col("_a") == F.col("_b"))})
-    return named.unionByName(others).drop("_a", "_b")
+    named = F.coalesce((F.col(kind) == "name") & full, F.lit(False))
+    found = forms.withColumn("_s", name_similarity(F.when(named, F.col("_a")), F.when(named, F.col("_b"))))
+    same = F.when(named, F.col("_s") >= C.NAME_SIMILARITY).otherwise(full & (F.col("_a") == F.col("_b")))
+    return found.withColumns({"similarity": F.when(named, F.col("_s")), "is_match": same}).drop("_a", "_b", "_s")
 
 
 def entries_of(records: DataFrame, key: str = "Record") -> DataFrame:
@@ -46,9 +47,7 @@ def attach_entries(fields: DataFrame, records: DataFrame, key: str = "Record") -
     """Each field row with its record's entry, match, display status and, on a mismatch, the reason for it."""
     joined = fields.join(entries_of(records, key), [key, "field"], "left").withColumn("kind", _kind_of(F.col("field")))
     both = (F.coalesce(F.col("entry"), F.lit("")) != "") & (F.coalesce(F.col("ocr_result"), F.lit("")) != "")
-    compared = match(joined.where(both), "entry", "ocr_result", "kind")
-    rest = joined.where(~both).withColumns({"similarity": F.lit(None).cast("double"), "is_match": F.lit(None).cast("boolean")})
-    rows = compared.unionByName(rest)
+    rows = match(joined, "entry", "ocr_result", "kind").withColumn("is_match", F.when(both, F.col("is_match")))
     detail = F.concat(F.lit("data spreadsheet='"), F.col("entry"), F.lit("' vs dokumen='"), F.col("ocr_result"), F.lit("'"), _similarity_text())
     reason = F.when(F.col("is_match") == F.lit(False), F.concat_ws("; ", X.or_null(F.col("reason")), detail)).otherwise(F.col("reason"))
     return rows.withColumns({"display_status": display_status(F.col("status"), F.col("is_match")), "reason": reason})

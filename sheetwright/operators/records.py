@@ -79,3 +79,16 @@ def batch_status(records: DataFrame, session: str = "session", status: str = "st
     """Counts by session: total, done and each status."""
     counts = [F.count_if(F.col(status) == s).alias(s) for s in ("pending", "queued", "processing", "done", "no_document", "error")]
     return records.groupBy(session).agg(F.count("*").alias("total"), *counts)
+
+
+def new_session(records: DataFrame, session: str, key: str = "Record") -> DataFrame:
+    """The session's rows: every record is pending and has neither result nor error."""
+    nothing = F.lit(None).cast("string")
+    return records.select(F.lit(session).alias("session"), key, F.lit("pending").alias("status"), nothing.alias("result"), nothing.alias("error"))
+
+
+def record_result(sessions: DataFrame, session: str, record: int, key: str = "Record") -> DataFrame:
+    """One record's result where it has one, else its status and error; no row for an unknown session or record."""
+    row = sessions.where((F.col("session") == session) & (F.col(key) == record))
+    ready = F.col("result").isNotNull()
+    return row.select("session", key, ready.alias("ready"), "result", F.when(~ready, F.col("status")).alias("status"), F.when(~ready, F.col("error")).alias("error"))

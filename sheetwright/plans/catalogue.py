@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from sheetwright import constants as C
 from sheetwright.functions import dates, text as X
 from sheetwright.functions.python import repair_json
-from sheetwright.operators import associate, layout, metrics, reconcile, records, resolve
+from sheetwright.operators import associate, layout, metrics, reconcile, records, regions, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -754,15 +754,104 @@ def best_alignment(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT l.vec_id AS l_id, r.vec_id AS r_id, round(1 - list_inner_product(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS distance FROM v l JOIN v r ON l.label = r.label AND l.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
+WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT l.vec_id AS l_id, r.vec_id AS r_id, round(1 - list_inner_product(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS distance FROM v l JOIN v r ON l.label = r.label AND l.vec_id <> r.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY distance, r_id) AS n FROM p), t AS (SELECT l_id, min_by(r_id, row(distance, r_id)) AS r_id, min(distance) AS d1, max(distance) AS d2, count(*) AS n FROM k WHERE n <= 2 GROUP BY l_id)
 SELECT l_id, r_id, d1, d2, n FROM t WHERE n = 2 AND d1 < 0.78 * d2
 """)
 def ratio_test(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("key"), F.col("embedding").cast("array<double>").alias("e"))
-    left, right = v.where("vec_id % 2 = 0").select("key", F.col("vec_id").alias("l_id"), F.col("e").alias("l_e")), v.where("vec_id % 2 = 1").select("key", F.col("vec_id").alias("r_id"), F.col("e").alias("r_e"))
-    dot = F.aggregate(F.zip_with("l_e", "r_e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return associate.ratio_matches(left, right, F.round(1 - dot, 6), 0.78)
+    left, right = v.select("key", F.col("vec_id").alias("l_id"), F.col("e").alias("l_e")), v.select("key", F.col("vec_id").alias("r_id"), F.col("e").alias("r_e"))
+    return associate.ratio_matches(left, right, 0.78)
+
+
+# ---- boxes on a page
+
+
+def _pages(spark, sf_dir):
+    """Part rows as pages: sizes of 1 to 4,000 pixels, a template box, a shift and a map."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    box = lambda a, b: F.struct((k % a / (2.0 * a)).alias("x1"), (k % b / (2.0 * b)).alias("y1"), (k % a / (2.0 * a) + 0.25).alias("x2"), (k % b / (2.0 * b) + 0.125).alias("y2"))
+    return p.select("p_partkey", (k * 37 % 4000 + 1).cast("int").alias("w"), (k * 53 % 3000 + 1).cast("int").alias("h"), box(8, 16).alias("value"), box(16, 4).alias("anchor"), (k % 41 - 20).cast("double").alias("dx"), (k % 23 - 11).cast("double").alias("dy"), (k % 3 == 0).alias("matched"))
+
+
+_PAGES = """p AS (SELECT p_partkey, p_partkey * 37 % 4000 + 1 AS w, p_partkey * 53 % 3000 + 1 AS h, p_partkey % 8 / 16.0::DOUBLE AS vx, p_partkey % 16 / 32.0::DOUBLE AS vy, p_partkey % 16 / 32.0::DOUBLE AS ax, p_partkey % 4 / 8.0::DOUBLE AS ay, p_partkey % 41 - 20 AS dx, p_partkey % 23 - 11 AS dy, p_partkey % 3 = 0 AS matched FROM part)"""
+
+
+def _clipped(x1: str, y1: str, x2: str, y2: str, name: str) -> str:
+    """SQL columns of a box cut to the page."""
+    left, top = f"greatest(0, least(w - 1, round_even({x1}, 0)))", f"greatest(0, least(h - 1, round_even({y1}, 0)))"
+    return f"CAST({left} AS INT) AS {name}_x1, CAST({top} AS INT) AS {name}_y1, CAST(greatest({left} + 1, least(w, round_even({x2}, 0))) AS INT) AS {name}_x2, CAST(greatest({top} + 1, least(h, round_even({y2}, 0))) AS INT) AS {name}_y2"
+
+
+def _flat(*boxes: str) -> list[Column]:
+    return [F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in boxes for c in ("x1", "y1", "x2", "y2")]
+
+
+@query(f"""
+WITH {_PAGES} SELECT p_partkey, round(least(1.0, 1800 / greatest(w, h)::DOUBLE), 9) AS scale, CAST(greatest(1, round_even(w * least(1000.0::DOUBLE / w, 1400.0::DOUBLE / h), 0)) AS INT) AS width, CAST(greatest(1, round_even(h * least(1000.0::DOUBLE / w, 1400.0::DOUBLE / h), 0)) AS INT) AS height,
+CAST(floor((1000 - greatest(1, round_even(w * least(1000.0::DOUBLE / w, 1400.0::DOUBLE / h), 0))) / 2) AS INT) AS x, CAST(floor((1400 - greatest(1, round_even(h * least(1000.0::DOUBLE / w, 1400.0::DOUBLE / h), 0))) / 2) AS INT) AS y FROM p
+""")
+def page_fit(spark, sf_dir):
+    p = _pages(spark, sf_dir).withColumn("f", regions.letterbox(F.col("w"), F.col("h"), F.lit(1000), F.lit(1400)))
+    return p.select("p_partkey", F.round(regions.match_scale(F.col("w"), F.col("h")), 9).alias("scale"), "f.*")
+
+
+@query(f"""
+WITH {_PAGES}, t AS (SELECT *, {_clipped("vx * w", "vy * h", "(vx + 0.25) * w", "(vy + 0.125) * h", "t")}, {_clipped("ax * w", "ay * h", "(ax + 0.25) * w", "(ay + 0.125) * h", "a")} FROM p),
+m AS (SELECT *, p_partkey % 5 < 2 AS mapped, p_partkey % 2 = 0 AS clamped FROM t),
+r AS (SELECT *, CASE WHEN mapped THEN t_x1 * 1.5 + 4 WHEN matched THEN t_x1 + dx ELSE t_x1 END AS bx1, CASE WHEN mapped THEN t_y1 * 1.5 - 6 WHEN matched THEN t_y1 + dy ELSE t_y1 END AS by1, CASE WHEN mapped THEN t_x2 * 1.5 + 4 WHEN matched THEN t_x2 + dx ELSE t_x2 END AS bx2, CASE WHEN mapped THEN t_y2 * 1.5 - 6 WHEN matched THEN t_y2 + dy ELSE t_y2 END AS by2 FROM m),
+c AS (SELECT *, {_clipped("bx1", "by1", "bx2", "by2", "c")} FROM r),
+k AS (SELECT *, greatest(c_y1, CAST(round_even(0.25 * h, 0) AS INT)) AS top, least(c_y2, CAST(round_even(0.75 * h, 0) AS INT)) AS bottom FROM c),
+b AS (SELECT *, c_x1 AS box_x1, c_x2 AS box_x2, CASE WHEN clamped AND bottom > top THEN top ELSE c_y1 END AS box_y1, CASE WHEN clamped AND bottom > top THEN bottom ELSE c_y2 END AS box_y2 FROM k)
+SELECT p_partkey, CASE WHEN mapped THEN 'section_section_affine' WHEN matched THEN 'anchor' ELSE 'fallback' END AS source, box_x1, box_y1, box_x2, box_y2, {_clipped("a_x1 + box_x1 - t_x1", "a_y1 + box_y1 - t_y1", "a_x2 + box_x1 - t_x1", "a_y2 + box_y1 - t_y1", "anchor_box")} FROM b
+""")
+def field_boxes(spark, sf_dir):
+    k = F.col("p_partkey")
+    number = lambda v: F.lit(float(v))
+    m = F.struct(number(1.5).alias("a"), number(0).alias("b"), number(4).alias("tx"), number(0).alias("c"), number(1.5).alias("d"), number(-6).alias("ty"))
+    rows = _pages(spark, sf_dir).select("*", F.when(k % 5 < 2, m).alias("transform"), F.lit("section_affine").alias("method"), F.when(k % 2 == 0, C.CLAMPED_REGION).otherwise("placement_area").alias("region"), number(0.75).alias("next_top"), number(0.25).alias("prev_bottom"))
+    return regions.field_boxes(rows, F.col("w"), F.col("h")).select("p_partkey", "source", *_flat("box", "anchor_box"))
+
+
+@query(f"""
+WITH {_PAGES} SELECT p_partkey, round(greatest(0.125, vx - 0.75 * 0.025), 9) AS x1, round(greatest(0.0625, vy - 0.5 * 0.02), 9) AS y1, round(least(0.875, vx + 0.25 + 0.75 * 0.025), 9) AS x2, round(least(0.5625, vy + 0.125 + 0.5 * 0.02), 9) AS y2 FROM p
+""")
+def search_windows(spark, sf_dir):
+    region = F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (0.125, 0.0625, 0.875, 0.5625), strict=True)])
+    p = _pages(spark, sf_dir).withColumn("s", regions.search_window(F.col("value"), region))
+    return p.select("p_partkey", *[F.round(f"s.{c}", 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id % 1000 / 2.0 AS x, event_id * 7 % 800 / 2.0 AS y, value, event_id % 4 > 0 AS inlier FROM events), b AS (SELECT * FROM e WHERE y >= 40)
+SELECT user_id, round(CASE WHEN count_if(inlier) >= 2 THEN (max(x) FILTER (inlier) - min(x) FILTER (inlier)) * (max(y) FILTER (inlier) - min(y) FILTER (inlier)) / 200000.0 ELSE 0 END, 6) AS coverage,
+round(CASE WHEN count_if(inlier) >= 2 THEN avg(sqrt(0.0625 + value * value)) FILTER (inlier) END, 6) AS error, count_if(inlier) AS inliers FROM b GROUP BY user_id
+""")
+def match_geometry(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", (k % 1000 / 2.0).alias("x"), (k * 7 % 800 / 2.0).alias("y"), "value", (k % 4 > 0).alias("inlier"))
+    body = regions.body_points(e, F.lit(400)).select("*", (F.col("x") + 0.25).alias("px"), (F.col("y") + F.col("value")).alias("py"))
+    return regions.match_geometry(body, ["user_id"], F.lit(500), F.lit(400)).select("user_id", F.round("coverage", 6).alias("coverage"), F.round("error", 6).alias("error"), "inliers")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'CUT_OFF' ELSE 'PASS' END AS roi, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN event_id % 5 < 3 THEN props END) AS value FROM events
+""")
+def result_values(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    result = F.create_map(F.lit("text"), F.when(k % 5 < 3, F.col("props")).otherwise(""), F.lit("ocr_result"), F.when(k % 3 == 0, F.col("event_type")).when(k % 3 == 1, ""), F.lit("other"), F.lit("x"))
+    return e.select("event_id", regions.signature_roi(F.when(F.col("event_type") == "error", "out_of_frame").otherwise("present")).alias("roi"), metrics.extracted_value(result).alias("value"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, count(*) AS n, CAST(NULL AS VARCHAR) AS stage FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey UNION ALL SELECT o_custkey, NULL, 'late' FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_custkey)
+SELECT c_custkey, n, stage, r.o_custkey IS NOT NULL AS evaluated FROM customer LEFT JOIN r ON c_custkey = o_custkey
+""")
+def evaluated_records(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    done = orders.where("o_orderstatus = 'O'").groupBy("c_custkey").agg(F.count("*").alias("n"))
+    failed = orders.where("o_orderstatus <> 'O'").groupBy("c_custkey").agg(F.lit("late").alias("stage"))
+    return metrics.with_blank_rows(table(spark, sf_dir, "customer").select("c_custkey"), metrics.all_columns(done, failed), "c_custkey")
 
 
 # ---- service state
@@ -795,6 +884,17 @@ def fetch_documents(spark, sf_dir):
     return records.with_documents(links, docs).select("page_id", "path")
 
 
+@query("""
+SELECT 's1' AS session, c_custkey, c_custkey % 2 = 0 AS ready, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS result, CASE WHEN c_custkey % 2 <> 0 THEN 'pending' END AS status, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'e' END AS error FROM customer WHERE c_custkey = 9
+""")
+def session_result(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    rows = records.new_session(c, "s1", "c_custkey").join(c.select("c_custkey", "c_name"), "c_custkey")
+    k = F.col("c_custkey")
+    rows = rows.select("session", "c_custkey", "status", F.when(k % 2 == 0, F.col("c_name")).alias("result"), F.when(k % 3 == 0, "e").alias("error"))
+    return records.record_result(rows, "s1", 9, "c_custkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as forms: account and term checks, decided by the checks of each one's region mode."""
     return decision_rollup(spark, sf_dir)

@@ -85,8 +85,15 @@ def ink_change(template: pd.Series, filled: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField("components", T.IntegerType()), T.StructField("area_ratio", T.DoubleType()), T.StructField("spread_x", T.DoubleType()), T.StructField("spread_y", T.DoubleType())]))
 def signature_ink(template: pd.Series, filled: pd.Series) -> pd.DataFrame:
-    """Ink statistics of a signature box against the template, printed lines removed."""
-    rows = [kernels.ink_stats(kernels.without_lines(kernels.difference_mask(*_png_pair(a, b)))) for a, b in zip(template, filled, strict=True)]
+    """Ink statistics of a signature box against the template, printed lines removed; nulls if either can't be read."""
+
+    def one(a, b) -> tuple:
+        try:
+            return kernels.ink_stats(kernels.without_lines(kernels.difference_mask(*_png_pair(a, b))))
+        except (ValueError, TypeError):
+            return (None,) * 4
+
+    rows = [one(a, b) for a, b in zip(template, filled, strict=True)]
     return pd.DataFrame(rows, columns=["components", "area_ratio", "spread_x", "spread_y"])
 
 

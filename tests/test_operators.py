@@ -1,5 +1,6 @@
 """Operators on small inputs, edge cases first."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,27 @@ def test_layout_tables(spark):
     assert layout.checks(spark).count() == sum(map(len, C.DECISIVE.values()))
     box = spark.range(1).select(layout.clip_box(*[F.lit(v) for v in (-3.0, 2.5, 1.0, 900.0)], F.lit(100), F.lit(50))).first()[0]
     assert tuple(box) == (0, 2, 1, 50)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_ratio_matches_against_all_pairs(spark, block):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    key = [int(k) for k in rng.integers(0, 3, 60)]
+    frame = spark.createDataFrame([(key[i], i, vectors[i].tolist()) for i in range(60)] + [(9, 99, vectors[0].tolist())], "key int, id long, e array<double>")
+    left, right = (frame.select("key", F.col("id").alias(f"{s}_id"), F.col("e").alias(f"{s}_e")) for s in "lr")
+    want = {}
+    for i in range(60):
+        near = sorted((round(float(1 - vectors[i] @ vectors[j]), 6), j) for j in range(60) if j != i and key[j] == key[i])[:2]
+        if len(near) == 2 and near[0][0] < 0.78 * near[1][0]:
+            want[i] = (near[0][1], near[0][0], near[1][0])
+    got = {r["l_id"]: (r["r_id"], r["d1"], r["d2"]) for r in associate.ratio_matches(left, right, 0.78, block).collect()}
+    assert got == want and want
+
+
+def test_an_unreadable_signature_does_not_fail_the_others(spark):
+    from sheetwright.vision import backends
+
+    row = spark.createDataFrame([(bytearray(b"x"), bytearray(b"y")), (None, None)], "a binary, b binary").select(backends.signature_ink("a", "b").alias("s")).collect()
+    assert all(r["s"] is None or set(r["s"]) == {None} for r in row)
