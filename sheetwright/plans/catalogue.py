@@ -300,45 +300,64 @@ def signature_state(spark, sf_dir):
 
 
 _SLICE = """
-SELECT o_orderkey AS doc, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'urban' ELSE 'rural' END AS mode, substr(c_name, 10) AS ref_no,
+SELECT o_orderkey AS doc, o_orderkey AS k, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'urban' ELSE 'rural' END AS mode, substr(c_name, 10) AS ref_no,
   CASE WHEN o_orderkey % 7 = 0 THEN translate(substr(c_name, 10), '015', 'OlS') WHEN o_orderkey % 11 = 0 THEN '000000' ELSE substr(c_name, 10) END AS raw_no,
+  c_name AS ref_name, CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN c_mktsegment ELSE c_name END AS name,
+  CAST(floor(o_totalprice) AS BIGINT) AS ref_amount, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END END AS amount,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 9) END AS months, o_orderkey % 8 + 1 AS ref_m,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'absent' WHEN o_orderkey % 19 = 0 THEN 'uncertain' ELSE 'present' END AS sig
+  o_orderkey % 3 = 0 AS money, (o_orderkey % 3 <> 0 AND o_orderkey % 61 <> 0) OR o_orderkey % 43 = 0 AS goods, (o_orderkey % 3 = 0 AND o_orderkey % 47 <> 0) OR o_orderkey % 59 = 0 AS cash,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'absent' WHEN o_orderkey % 19 = 0 THEN 'uncertain' ELSE 'present' END AS sig,
+  CASE WHEN o_orderkey % 67 = 0 THEN NULL WHEN o_orderkey % 71 = 0 THEN 'out_of_frame' ELSE 'present' END AS chief
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
 _CHECKS = f"""
 WITH s AS ({_SLICE}), t AS (SELECT *, nullif(regexp_replace(translate(raw_no, 'OoIlSB', '001158'), '[^0-9]', '', 'g'), '') AS no, CASE WHEN months IN (1, 2) THEN 1 WHEN months IN (3, 4) THEN 3 WHEN months IN (5, 6, 7) THEN 6 END AS term FROM s),
 c AS (
-  SELECT doc, mode, 'nomor_rekening' AS "check", CASE WHEN no IS NULL THEN 'REVIEW' WHEN no = ref_no THEN 'OK' ELSE 'TOLAK' END AS status FROM t
-  UNION ALL SELECT doc, mode, 'tenor_penempatan', CASE WHEN term IS NULL THEN 'REVIEW' WHEN term = ref_m THEN 'OK' ELSE 'TOLAK' END FROM t
-  UNION ALL SELECT doc, mode, 'signature_nasabah', CASE sig WHEN 'present' THEN 'OK' WHEN 'absent' THEN 'TOLAK' ELSE 'REVIEW' END FROM t)
+  SELECT doc, mode, 1 AS ord, 'nama_nasabah' AS "check", CASE WHEN name IS NULL THEN 'REVIEW' WHEN name = ref_name THEN 'OK' ELSE 'TOLAK' END AS status FROM t
+  UNION ALL SELECT doc, mode, 2, 'nomor_rekening', CASE WHEN no IS NULL THEN 'REVIEW' WHEN no = ref_no THEN 'OK' ELSE 'TOLAK' END FROM t
+  UNION ALL SELECT doc, mode, 3, 'nominal_penempatan', CASE WHEN amount IS NULL THEN 'REVIEW' WHEN amount = ref_amount THEN 'OK' ELSE 'TOLAK' END FROM t
+  UNION ALL SELECT doc, mode, 4, 'tenor_penempatan', CASE WHEN term IS NULL THEN 'REVIEW' WHEN term = ref_m THEN 'OK' ELSE 'TOLAK' END FROM t
+  UNION ALL SELECT doc, mode, 5, 'bentuk_reward', CASE WHEN k % 41 = 0 THEN 'REVIEW' WHEN money AND goods AND NOT cash THEN 'TOLAK' WHEN money AND NOT cash THEN 'REVIEW'
+    WHEN NOT money AND cash AND NOT goods THEN 'TOLAK' WHEN NOT money AND NOT goods THEN 'REVIEW' WHEN k % 53 = 0 AND NOT money THEN 'TOLAK' ELSE 'OK' END FROM t
+  UNION ALL SELECT doc, mode, 6, 'signature_nasabah', CASE sig WHEN 'present' THEN 'OK' WHEN 'absent' THEN 'TOLAK' ELSE 'REVIEW' END FROM t
+  UNION ALL SELECT doc, mode, 7, 'signature_atasan', CASE coalesce(chief, 'absent') WHEN 'present' THEN 'OK' WHEN 'absent' THEN 'TOLAK' ELSE 'REVIEW' END FROM t),
+d AS (SELECT * FROM c WHERE ord <= 3 OR (mode = 'urban') = (ord <= 5))
 """
 
 
 def slice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, mode, check, status, reason: three checks of each order as if it were a form."""
+    """doc, mode, check, status, reason: the seven checks of each order as if it were a form."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    k, ref = F.col("o_orderkey"), F.substring("c_name", 10, 100)
+    k, ref, price = F.col("o_orderkey"), F.substring("c_name", 10, 100), F.floor("o_totalprice").cast("long")
+    choice = F.when(k % 3 == 0, "tunai").otherwise("non_tunai")
+    goods, cash = ((k % 3 != 0) & (k % 61 != 0)) | (k % 43 == 0), ((k % 3 == 0) & (k % 47 != 0)) | (k % 59 == 0)
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
         k.alias("doc"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "urban").otherwise("rural").alias("mode"), ref.alias("ref_no"),
         F.when(k % 7 == 0, F.translate(ref, "015", "OlS")).when(k % 11 == 0, "000000").otherwise(ref).alias("raw_no"),
+        F.col("c_name").alias("ref_name"), F.when(k % 23 != 0, F.when(k % 29 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))).alias("name"),
+        price.alias("ref_amount"), F.when(k % 31 != 0, price + F.when(k % 37 == 0, 1).otherwise(0)).alias("amount"),
         dates.nearest_term(F.when(k % 13 != 0, k % 9)).alias("term"), (k % 8 + 1).alias("ref_m"),
+        reconcile.reward_check(choice, F.when(k % 41 == 0, "uncertain").otherwise("detected"), goods, cash, F.when(k % 53 == 0, "tunai").otherwise(choice))["status"].alias("reward"),
         F.when(k % 17 == 0, "absent").when(k % 19 == 0, "uncertain").otherwise("present").alias("sig"),
+        F.when(k % 67 != 0, F.when(k % 71 == 0, "out_of_frame").otherwise("present")).alias("chief"),
     )
-    no = X.normalize_numeric(F.col("raw_no"))
-    three = lambda missing, same: F.when(missing, "REVIEW").when(same, "OK").otherwise("TOLAK")
-    sig = reconcile.signature_check("signature_nasabah", F.col("sig"))
-    checks = F.array(
-        F.struct(F.lit("nomor_rekening").alias("check"), three(no.isNull(), no == F.col("ref_no")).alias("status")),
-        F.struct(F.lit("tenor_penempatan").alias("check"), three(F.col("term").isNull(), F.col("term") == F.col("ref_m")).alias("status")),
-        F.struct(F.lit("signature_nasabah").alias("check"), sig["status"].alias("status")),
-    )
+    three = lambda value, ref: F.when(value.isNull(), "REVIEW").when(value == ref, "OK").otherwise("TOLAK")
+    status = {
+        "nama_nasabah": three(F.col("name"), F.col("ref_name")),
+        "nomor_rekening": three(X.normalize_numeric(F.col("raw_no")), F.col("ref_no")),
+        "nominal_penempatan": three(F.col("amount"), F.col("ref_amount")),
+        "tenor_penempatan": three(F.col("term"), F.col("ref_m")),
+        "bentuk_reward": F.col("reward"),
+        "signature_nasabah": reconcile.signature_check("signature_nasabah", F.col("sig"))["status"],
+        "signature_atasan": reconcile.signature_check("signature_atasan", F.col("chief"))["status"],
+    }
+    checks = F.array(*[F.struct(F.lit(name).alias("check"), s.alias("status")) for name, s in status.items()])
     return rows.select("doc", "mode", F.explode(checks).alias("c")).select("doc", "mode", "c.*", F.concat_ws(" ", "c.check", "c.status").alias("reason"))
 
 
-@query(_CHECKS + """, d AS (SELECT * FROM c WHERE "check" = 'nomor_rekening' OR "check" = CASE mode WHEN 'urban' THEN 'tenor_penempatan' ELSE 'signature_nasabah' END)
+@query(_CHECKS + """
 SELECT doc, mode, CASE WHEN bool_or(status = 'TOLAK') THEN 'TOLAK' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'OK' END AS decision,
-  coalesce(string_agg("check" || ' ' || status, '; ' ORDER BY CASE "check" WHEN 'nomor_rekening' THEN 1 WHEN 'tenor_penempatan' THEN 3 ELSE 5 END) FILTER (status = CASE WHEN st THEN 'TOLAK' ELSE 'REVIEW' END), '') AS reasons
+  coalesce(string_agg("check" || ' ' || status, '; ' ORDER BY ord) FILTER (status = CASE WHEN st THEN 'TOLAK' ELSE 'REVIEW' END), '') AS reasons
 FROM (SELECT *, bool_or(status = 'TOLAK') OVER (PARTITION BY doc) AS st FROM d) GROUP BY doc, mode
 """)
 def decision_rollup(spark, sf_dir):
@@ -346,17 +365,15 @@ def decision_rollup(spark, sf_dir):
     return decided.select("doc", "mode", "decision", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(_CHECKS + """, d AS (SELECT * FROM c WHERE "check" = 'nomor_rekening' OR "check" = CASE mode WHEN 'urban' THEN 'tenor_penempatan' ELSE 'signature_nasabah' END),
-e AS (SELECT doc, mode, CASE WHEN bool_or(status = 'TOLAK') THEN 'TOLAK' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'OK' END AS decision FROM d GROUP BY doc, mode)
+@query(_CHECKS + """, e AS (SELECT doc, mode, CASE WHEN bool_or(status = 'TOLAK') THEN 'TOLAK' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'OK' END AS decision FROM d GROUP BY doc, mode)
 SELECT mode, decision, count(*) AS n FROM e GROUP BY mode, decision
 """)
 def decision_by_mode(spark, sf_dir):
     return reconcile.decide(slice_checks(spark, sf_dir), layout.checks(spark), "doc").groupBy("mode", "decision").agg(F.count("*").alias("n"))
 
 
-@query(_CHECKS + """, d AS (SELECT * FROM c WHERE "check" = 'nomor_rekening' OR "check" = CASE mode WHEN 'urban' THEN 'tenor_penempatan' ELSE 'signature_nasabah' END),
-e AS (SELECT doc, bool_or(status = 'TOLAK') AS t, bool_or(status = 'REVIEW') AS r, string_agg("check" || ' ' || status, '; ' ORDER BY CASE "check" WHEN 'nomor_rekening' THEN 1 WHEN 'tenor_penempatan' THEN 3 ELSE 5 END) FILTER (status = 'TOLAK') AS a,
-  string_agg("check" || ' ' || status, '; ' ORDER BY CASE "check" WHEN 'nomor_rekening' THEN 1 WHEN 'tenor_penempatan' THEN 3 ELSE 5 END) FILTER (status = 'REVIEW') AS b FROM d GROUP BY doc)
+@query(_CHECKS + """, e AS (SELECT doc, bool_or(status = 'TOLAK') AS t, bool_or(status = 'REVIEW') AS r, string_agg("check" || ' ' || status, '; ' ORDER BY ord) FILTER (status = 'TOLAK') AS a,
+  string_agg("check" || ' ' || status, '; ' ORDER BY ord) FILTER (status = 'REVIEW') AS b FROM d GROUP BY doc)
 SELECT o_orderkey AS doc, CASE WHEN doc IS NULL THEN 'Belum Diproses' WHEN t THEN 'Tolak – ' || a WHEN r THEN 'Tolak – ' || b ELSE 'OK Lanjut Proses' END AS export
 FROM orders LEFT JOIN e ON o_orderkey = doc AND o_orderkey % 10 <> 0
 """)
