@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.vision import kernels
+from sheetwright import constants as C
+from sheetwright.vision import features, kernels
 
 # Thresholds of the alignment.
-COVERAGE, REPROJECTION, INLIERS_OK, HOMOGRAPHY_GAIN = 0.12, 4.0, 0.30, 0.15
+COVERAGE, REPROJECTION, INLIERS_OK, MATCHES_OK, HOMOGRAPHY_GAIN = 0.12, 4.0, 0.30, 18, 0.15
 GOOD_RATIO, GOOD_MATCHES = 0.55, 30
 AREA_RANGE, ASPECT_RANGE, CORNER_MARGIN = (0.25, 4.0), (0.5, 1.8), 0.06
 SECTION_SIMILARITY, SECTION_OUTLIER, SECTION_ROTATION, SECTION_SCALE = 0.32, 0.02, 6.0, (0.85, 1.18)
@@ -64,6 +68,106 @@ def pick_image(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.groupBy(*by).agg(F.max_by(F.struct("image", "status", "ratio", "matches"), order).alias("c")).select(*by, "c.*")
 
 
+def _page(content: bytes, image: str, shape: tuple[int, int]) -> np.ndarray:
+    """The page as photographed, or evened and straightened to the template's size."""
+    page = kernels.grey(kernels.decode_png(bytes(content)))
+    return page if image == "raw" else kernels.straightened(kernels.enhanced(page), shape)
+
+
+def page_candidates(pages: DataFrame, template: np.ndarray, image: str = "raw") -> DataFrame:
+    """Maps of each page (doc_id, content) onto the template by key points: a similarity and a homography at most.
+
+    A page that can't be read or matched has one row with method none and the
+    reason.  The template is one page and goes along with the function.
+    """
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    names = ["method", "matches", "inliers", "ratio", "coverage", "error", "m"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = features.Template(template)
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch.doc_id, batch.content, strict=True):
+                try:
+                    found, reason = known.candidates(_page(content, image, template.shape))
+                except (ValueError, TypeError) as e:
+                    found, reason = [], f"unreadable: {e}"
+                rows += [(doc_id, image, *(c[n] for n in names), None) for c in found] or [(doc_id, image, "none", 0, 0, 0.0, 0.0, None, None, reason)]
+            yield pd.DataFrame(rows, columns=["doc_id", "image", *names, "reason"])
+
+    return pages.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, image string, method string, matches int, inliers int, ratio double, coverage double, error double, m array<double>, reason string")
+
+
+def judged(candidates: DataFrame, width: int, height: int) -> DataFrame:
+    """The candidates with rotation, scale, status, and whether their map is sane for a template of that size."""
+    m = [F.element_at("m", i + 1) for i in range(9)]
+
+    def mapped(x: float, y: float) -> tuple[Column, Column]:
+        under = m[6] * x + m[7] * y + m[8]
+        return F.try_divide(m[0] * x + m[1] * y + m[2], under), F.try_divide(m[3] * x + m[4] * y + m[5], under)
+
+    turn, scale = F.degrees(F.atan2(m[3], m[0])), F.hypot(m[0], m[3])
+    corners = [mapped(x, y) for x, y in ((0, 0), (width, 0), (width, height), (0, height))]
+    page = sane_corners(corners, F.lit(float(width)), F.lit(float(height)))
+    sane = F.when(F.col("method") == "affine", (F.abs(turn) <= C.ROTATION_MAX) & scale.between(*C.SCALE_RANGE)).when(F.col("method") == "homography", page)
+    base = (F.col("matches") >= MATCHES_OK) & (F.col("ratio") >= INLIERS_OK)
+    return candidates.select("*", turn.alias("rotation"), scale.alias("scale"), status(base, F.col("coverage"), F.col("error")).alias("status"), F.coalesce(sane, F.lit(False)).alias("sane"))
+
+
+def align_pages(pages: DataFrame, template: np.ndarray) -> DataFrame:
+    """How each page (doc_id, content, is_pdf) is laid over the template: one row with status, reason, image, method, matches,
+    inliers, ratio, coverage, error, rotation, scale and the map m (row by row, page to template).
+
+    The raw page is tried first; only photos whose alignment is not good are
+    straightened and tried again, and the straightened page must be better.
+    A page without a sane map is failed, with the reason.  Ids are unique and
+    not null.  The candidates are kept on disk while the result is used, so no
+    page is matched twice.
+    """
+    height, width = template.shape
+    raw = judged(page_candidates(pages, template), width, height).persist(StorageLevel.DISK_ONLY)
+    good = pick_method(raw.where("sane"), ["doc_id"]).where(is_good(F.col("status"), F.col("ratio"), F.col("matches"))).select("doc_id")
+    photos = pages.where(~F.coalesce(F.col("is_pdf"), F.lit(False))).join(good, "doc_id", "left_anti")
+    again = judged(page_candidates(photos, template, "straight"), width, height).persist(StorageLevel.DISK_ONLY)
+    tried = raw.unionByName(again)
+    methods = pick_method(tried.where("sane"), ["doc_id", "image"])
+    images = pick_image(methods, ["doc_id"]).select("doc_id", "image")
+    chosen = tried.join(methods.join(images, ["doc_id", "image"]).select("doc_id", "image", "method"), ["doc_id", "image", "method"]).drop("sane", "reason")
+    reasons = raw.groupBy("doc_id").agg(F.max("reason").alias("_reason"))
+    out = pages.select("doc_id").join(chosen, "doc_id", "left").join(reasons, "doc_id", "left")
+    failed = F.col("method").isNull()
+    return out.select(
+        "doc_id", F.coalesce("status", F.lit("failed")).alias("status"), F.when(failed, F.coalesce("_reason", F.lit("no_valid_transform"))).alias("reason"), "image",
+        F.coalesce("method", F.lit("none")).alias("method"), "matches", "inliers", "ratio", "coverage", "error", "rotation", "scale", "m",
+    )
+
+
+def aligned_images(pages: DataFrame, alignment: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """doc_id, page and covered, both as PNG files of the template's shape: the page under its map, or fitted into the canvas
+    where the alignment failed, and the mask of what it covers.  Nulls for pages that can't be read."""
+    kind = pages.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, content, image, m in zip(batch.doc_id, batch.content, batch.image, batch.m, strict=True):
+                try:
+                    page = _page(content, image if m is not None else "raw", shape)
+                except (ValueError, TypeError):
+                    rows.append((doc_id, None, None))
+                    continue
+                if m is None:
+                    laid, covered = features.letterboxed(page, shape)
+                    covered = covered * np.uint8(255)
+                else:
+                    by = np.array(m, np.float64).reshape(3, 3)
+                    laid, covered = kernels.warp(page, by, shape), kernels.warp(np.full(page.shape, 255, np.uint8), by, shape, 0)
+                rows.append((doc_id, kernels.encode_png(laid), kernels.encode_png(covered)))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "covered"])
+
+    return pages.select("doc_id", "content").join(alignment.select("doc_id", "image", "m"), "doc_id").mapInPandas(run, f"doc_id {kind}, page binary, covered binary")
+
+
 def section_transforms(anchors: DataFrame, diagonal: float) -> DataFrame:
     """doc_id, section, method and the map a, b, tx, c, d, ty of each section.
 

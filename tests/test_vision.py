@@ -141,3 +141,74 @@ def test_alignment_choices(spark):
     out = {r["doc_id"]: r for r in align.section_transforms(spark.createDataFrame(anchors, "doc_id long, section string, x double, y double, dx double, dy double, score double"), 500.0).collect()}
     assert out[1]["method"] == "section_affine" and abs(out[1]["tx"] - 3) < 1e-6 and out[1]["n"] == 4
     assert (out[2]["method"], out[2]["tx"], out[3]["method"]) == ("consensus_translation", 4.0, "none")
+
+
+@pytest.fixture
+def form():
+    """A synthetic form: lines, boxes and marks like printed words."""
+    rng = np.random.default_rng(12)
+    image = np.full((700, 500), 245, np.uint8)
+    for y in range(40, 680, 26):
+        x = 30
+        while x < 450:
+            wide = int(rng.integers(4, 16))
+            image[y : y + int(rng.integers(4, 13)), x : x + wide] = int(rng.integers(10, 90))
+            x += wide + int(rng.integers(4, 12))
+    return image
+
+
+def test_area_means_and_letterbox():
+    from sheetwright.vision import features
+
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert (features.resized(image, (6, 8)) == image).all()
+    blocks = image.reshape(3, 2, 4, 2).mean((1, 3))
+    assert np.abs(features.resized(image, (3, 4)) - blocks).max() <= 0.5
+    canvas, mask = features.letterboxed(np.zeros((10, 20), np.uint8), (40, 40))
+    assert mask.sum() == 20 * 40 and (canvas[mask] == 0).all() and (canvas[~mask] == 255).all()
+    assert not features.letterboxed(np.zeros((0, 5), np.uint8), (4, 4))[1].any()
+    assert features.for_matching(np.zeros((3600, 900), np.uint8))[0].shape == (1800, 450)
+
+
+def test_homography_by_consensus():
+    from sheetwright.vision import features
+
+    rng = np.random.default_rng(6)
+    a = rng.uniform(0, 1000, (60, 2))
+    true = np.array([[1.02, 0.03, 5], [-0.02, 0.97, 9], [2e-5, 1e-5, 1]])
+    b = features.projected(true, a)
+    b[:20] += rng.uniform(40, 90, (20, 2))
+    m, inliers = features.robust_homography(a, b)
+    assert inliers.sum() == 40 and np.allclose(features.projected(m, a), features.projected(true, a), atol=1e-4)
+
+
+def test_pages_are_aligned(spark, form):
+    from sheetwright.operators import align
+
+    assert (kernels.grey(kernels.decode_png(kernels.encode_png(form))) == form).all()
+    turn = np.deg2rad(3)
+    moved = np.array([[0.95 * np.cos(turn), -0.95 * np.sin(turn), 40], [0.95 * np.sin(turn), 0.95 * np.cos(turn), 15], [0, 0, 1]])
+    tilted = np.array([[0.9, 0.08, 20], [0.02, 0.92, 12], [2e-4, 1e-4, 1]])
+    pages = {1: form, 2: kernels.warp(form, moved, (760, 560)), 3: kernels.warp(form, tilted, (700, 500)), 4: np.full((300, 300), 200, np.uint8), 5: np.zeros((9, 9), np.uint8)}
+    rows = [(i, bytearray(png(p)), i == 1) for i, p in pages.items()] + [(6, bytearray(b"broken"), False), (7, None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, content binary, is_pdf boolean")
+    alignment = align.align_pages(df, form)
+    got = {r["doc_id"]: r for r in alignment.collect()}
+    assert len(got) == 7
+    corners = np.array([[50, 80], [450, 80], [450, 640], [50, 640]], float)
+    for i, true in ((1, np.eye(3)), (2, moved), (3, tilted)):
+        assert got[i]["status"] == "ok" and got[i]["reason"] is None
+        if got[i]["image"] == "raw":
+            m = np.array(got[i]["m"]).reshape(3, 3) @ true
+            at = np.hstack([corners, np.ones((4, 1))]) @ m.T
+            assert np.abs(at[:, :2] / at[:, 2:] - corners).max() < 6
+    assert got[2]["method"] == "affine" and abs(got[2]["rotation"] + 3) < 0.5
+    assert [got[i]["status"] for i in (4, 5, 6, 7)] == ["failed"] * 4
+    assert got[4]["reason"] == "features_not_found" and got[5]["reason"] == "invalid_dimensions" and got[6]["reason"].startswith("unreadable")
+    images = {r["doc_id"]: r for r in align.aligned_images(df, alignment, form.shape).collect()}
+    laid = kernels.grey(kernels.decode_png(images[2]["page"])).astype(int)
+    inside = np.s_[100:600, 100:400]
+    assert laid.shape == form.shape and np.abs(laid[inside] - form[inside]).mean() < 25
+    covered = kernels.grey(kernels.decode_png(images[4]["covered"]))
+    assert covered.any() and not covered.all() and images[6]["page"] is None
+    assert align.align_pages(df.limit(0), form).count() == 0
