@@ -111,3 +111,5 @@ SEARCH_X, SEARCH_Y = 0.025, 0.02
 CLAMPED_REGION = "identity_area"
 #: The members of a result that may hold a field's value, the first that is not empty counts.
 VALUE_KEYS = ("ocr_result", "normalized_value", "value", "text", "label", "final_value")
+# The limit and the tiles of the local contrast.
+CONTRAST_CLIP, CONTRAST_TILES = 1.3, 8

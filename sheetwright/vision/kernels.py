@@ -274,8 +274,27 @@ def coverage(mask: np.ndarray | None, box: tuple[int, int, int, int]) -> float:
     return float((part > 0).mean()) if part.size else 0.0
 
 
+def edge_quad(image: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """(corners, share of the area) of what the longest connected edges of the image enclose."""
+    if min(image.shape) < 3:
+        return None, 0.0
+    gy, gx = np.gradient(blur(image, 5))
+    steep = np.hypot(gx, gy)
+    if steep.max() < 1:
+        return None, 0.0
+    scaled = (steep * (255 / steep.max())).astype(np.uint8)
+    labels = components(window_sum(np.pad(scaled > otsu(scaled), 2), 5, 5) > 0)
+    sizes = np.bincount(labels.reshape(-1))
+    sizes[0] = 0
+    ys, xs = np.nonzero(labels == sizes.argmax())
+    corners = order_corners(np.stack([xs, ys], 1).astype(float))
+    x, y = corners.T
+    return corners, float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2 / image.size)
+
+
 def paper_quad(image: np.ndarray, least: float = 0.30, most: float = 0.985) -> tuple[np.ndarray | None, float]:
-    """(corners, share of the area) of the largest bright or dark part; no corners if the share is out of range."""
+    """(corners, share of the area) of the largest bright or dark part, or where its share is out of range of what edges
+    enclose; no corners if neither is in range."""
     best, share = None, 0.0
     bright = image > otsu(image)
     for mask in (bright, ~bright):
@@ -286,7 +305,11 @@ def paper_quad(image: np.ndarray, least: float = 0.30, most: float = 0.985) -> t
             share = float(sizes.max() / image.size)
             ys, xs = np.nonzero(labels == sizes.argmax())
             best = order_corners(np.stack([xs, ys], 1).astype(float))
-    return (best if least <= share <= most else None), share
+    if not least <= share <= most:
+        best, by_edges = edge_quad(image)
+        share = by_edges or share
+        return (best if least <= by_edges <= most else None), share
+    return best, share
 
 
 def straightened(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -298,14 +321,39 @@ def straightened(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return warp(image, homography(corners, np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)), shape)
 
 
+def local_contrast(image: np.ndarray, clip: float = C.CONTRAST_CLIP, tiles: int = C.CONTRAST_TILES) -> np.ndarray:
+    """Histogram equalisation by tiles: counts above ``clip`` times the mean are dealt to all values, and a pixel blends the
+    curves of the four tiles around it."""
+    h, w = image.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    padded = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), mode="edge")
+    tile = np.arange(th * tiles)[:, None] // th * tiles + np.arange(tw * tiles) // tw
+    counts = np.bincount((tile * 256 + padded).reshape(-1), minlength=tiles * tiles * 256).reshape(-1, 256).astype(np.float64)
+    limit = max(1.0, clip * th * tw / 256)
+    over = np.maximum(counts - limit, 0).sum(1, keepdims=True)
+    curves = ((np.minimum(counts, limit) + over / 256).cumsum(1) * (255 / (th * tw))).reshape(tiles, tiles, 256)
+
+    def between(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(n) + 0.5) / size - 0.5, 0, tiles - 1)
+        low = at.astype(int)
+        return low, np.minimum(low + 1, tiles - 1), at - low
+
+    (top, bottom, fy), (left, right, fx) = between(h, th), between(w, tw)
+    fy = fy[:, None]
+    upper = curves[top[:, None], left, image] * (1 - fx) + curves[top[:, None], right, image] * fx
+    lower = curves[bottom[:, None], left, image] * (1 - fx) + curves[bottom[:, None], right, image] * fx
+    return np.rint(upper * (1 - fy) + lower * fy).clip(0, 255).astype(np.uint8)
+
+
 def enhanced(image: np.ndarray, radius: int = 31) -> np.ndarray:
-    """An unevenly lit or flat scan with its background divided out, blended with the original; others as they are."""
+    """An unevenly lit or flat scan with its background divided out, blended with the original and its local contrast raised;
+    others as they are."""
     if not needs_enhancement(image):
         return image
     pad = np.pad(image.astype(np.float64), radius, mode="edge")
     background = window_sum(pad, 2 * radius + 1, 2 * radius + 1) / (2 * radius + 1) ** 2
     flat = np.clip(image / np.maximum(background, 1) * 255, 0, 255)
-    return np.rint(0.65 * flat + 0.35 * image).astype(np.uint8)
+    return local_contrast(np.rint(0.65 * flat + 0.35 * image).astype(np.uint8))
 
 
 def free_rows_below(template: np.ndarray, box: tuple[int, int, int, int], most: int) -> int:

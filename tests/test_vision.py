@@ -212,3 +212,24 @@ def test_pages_are_aligned(spark, form):
     covered = kernels.grey(kernels.decode_png(images[4]["covered"]))
     assert covered.any() and not covered.all() and images[6]["page"] is None
     assert align.align_pages(df.limit(0), form).count() == 0
+
+
+def test_local_contrast(form):
+    flat = (form // 8 + 90).astype(np.uint8)
+    out = kernels.local_contrast(flat)
+    assert out.shape == flat.shape and out.std() > flat.std()
+    plain = kernels.local_contrast(np.full((50, 30), 77, np.uint8))
+    assert len(np.unique(plain)) == 1
+    one_tile = kernels.local_contrast(flat, 1e9, 1)  # plain equalisation: the cumulated share of each value
+    share = np.bincount(flat.reshape(-1), minlength=256).cumsum() / flat.size
+    assert (one_tile == np.rint(share[flat] * 255)).all()
+    assert kernels.enhanced(flat).std() > flat.std()
+
+
+def test_edges_stand_in_for_brightness():
+    ramp = np.tile(np.linspace(60, 200, 160), (120, 1))
+    frame = ramp.astype(np.uint8)
+    frame[15:18, 20:140] = frame[102:105, 20:140] = frame[15:105, 20:23] = frame[15:105, 137:140] = 0
+    corners, share = kernels.edge_quad(frame)
+    assert 0.5 < share < 0.65 and np.abs(corners - [[20, 15], [139, 15], [139, 104], [20, 104]]).max() <= 5
+    assert kernels.edge_quad(np.full((20, 20), 9, np.uint8)) == (None, 0.0)
