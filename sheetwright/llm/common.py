@@ -67,10 +67,14 @@ class Scratch:
         except Exception:  # the JVM has gone: nothing is left to ask
             pass
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: of a row group at most, for tables of long rows: Spark reads up to 4,096 rows of a group at once, whatever their bytes."""
         self._count += 1
         path = f"{self.path}/{self._count}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if rows:
+            writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.page.size.row.check.min", 1)
+        writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

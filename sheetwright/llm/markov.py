@@ -56,6 +56,10 @@ CLASSES = 1 << 15
 ROUNDS, GAIN = 4, 1e-4
 STRETCH = 512
 BLOCK_BYTES = 8 << 20
+#: Rows of a row group of the tables of blocks (megabytes each) and of their counts, so that a task holds few at once whatever it reads.
+BLOCKS_AT_ONCE, COUNTS_AT_ONCE = 1, 256
+#: Bytes that a text adds to its block besides its own.
+ROW_BYTES = 16
 #: Text behind a range of the exchange of counts, and ranges at most: beyond them a piece is no more than a shuffle's row.
 RANGE_BYTES, MOST_RANGE_BITS = 16 << 20, 16
 #: Tokens whose forward and backward rows are held at once.
@@ -104,7 +108,7 @@ def encode(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
-                if keys and size + len(data) > block_bytes:
+                if keys and size + len(data) + ROW_BYTES > block_bytes:
                     yield close()
                     chunk, size, words, keys, coded = chunk + 1, 0, _Words({END: 0}), [], []
                 tokens = data.translate(_LOWER).split()
@@ -112,7 +116,7 @@ def encode(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 ids[:-1] = np.fromiter(map(words.__getitem__, tokens), np.uint32, len(tokens))
                 keys.append(key)
                 coded.append(ids)
-                size += len(data)
+                size += len(data) + ROW_BYTES
         if keys:
             yield close()
         release_memory()
@@ -395,10 +399,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, states: int = STATES,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     scratch = Scratch(spark, "markov")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = scratch.save(encode(docs, block_bytes), "blocks")
+    blocks = scratch.save(encode(docs, block_bytes), "blocks", BLOCKS_AT_ONCE)
     total = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bits = min(MOST_RANGE_BITS, max(6, int(size // RANGE_BYTES).bit_length()))
-    known = scratch.save(corpus_counts(blocks, bits, max(LEAST_HEAD, int(total * HEAD_SHARE))), "known")
+    known = scratch.save(corpus_counts(blocks, bits, max(LEAST_HEAD, int(total * HEAD_SHARE))), "known", COUNTS_AT_ONCE)
     distinct = known.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     heads = [r["known"] for r in known.where("kind = 1 and length(known) > 0").select("known").collect()]  # 1 / HEAD_SHARE hashes at most
     head = np.sort(np.frombuffer(b"".join(heads), np.uint64))

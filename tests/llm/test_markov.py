@@ -2,8 +2,10 @@ import itertools
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sheetwright.llm import markov as M
@@ -169,3 +171,21 @@ def test_one_very_long_text(spark):
     text = "some words of a very long text " * 60_000
     rows = M.score_documents(spark, spark.createDataFrame([(1, text), (2, "some words"), (None, None)], "doc_id long, text string"), rounds=1).collect()
     check(rows, [(1, text), (2, "some words"), (None, None)])
+
+
+def test_long_rows_are_read_few_at_once(spark, docs, monkeypatch):
+    """A task reads many rows of a row group at once, so groups of megabyte rows are short however much one task wrote."""
+    made, scratch = [], M.Scratch
+    monkeypatch.setattr(M, "Scratch", lambda *a: made.append(scratch(*a)) or made[-1])
+    empty = spark.range(3000).selectExpr("-1 - id as doc_id", "'' as text")
+    rows = M.score_documents(spark, docs.select("doc_id", "text").unionByName(empty).coalesce(1), rounds=1, block_bytes=20_000).count()
+    assert rows == docs.count() + 3000
+    groups = {}
+    for name in ("blocks", "known"):
+        files = Path(made[0].path.removeprefix("file://")).glob(f"*-{name}/*.parquet")
+        meta = [pq.ParquetFile(f).metadata for f in files]
+        groups[name] = [m.row_group(i).num_rows for m in meta for i in range(m.num_row_groups)]
+    assert len(groups["blocks"]) > 20 and max(groups["blocks"]) == M.BLOCKS_AT_ONCE
+    assert max(groups["known"]) <= M.COUNTS_AT_ONCE < sum(groups["known"])
+    widest = spark.read.parquet(f"{made[0].path}/*-blocks").selectExpr("max(size(doc_ids)) as n").first()["n"]
+    assert widest <= 20_000 // M.ROW_BYTES
