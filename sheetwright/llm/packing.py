@@ -17,7 +17,9 @@ read, so other columns can't clash.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -62,6 +64,13 @@ def _gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return places
 
 
+#: The normalizer and the splitting under which ``_SIMPLE`` chunks are taken apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+#: Latin letters, and ASCII punctuation behind them but the apostrophe: a token's worth of each for the tokenizer's splitting.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ChunkTokenizer:
     """Ids of whole texts, tokenising each distinct blank-separated chunk once.
 
@@ -70,6 +79,11 @@ class ChunkTokenizer:
     line ends split here; any other space stays inside its chunk.  The special
     tokens' own strings hold no space, so they are found inside their chunk and
     give the special ids, as they do in the whole text.
+
+    Where the tokenizer lower-cases and splits letters from what follows them, a
+    chunk of Latin letters and punctuation has the ids of its lower-cased word
+    and then those of its punctuation, so a word's spellings are learned once.
+    Such words are told apart by their last ids, which end a word.
     """
 
     MAX_CHUNKS, MAX_CHARS = 600_000, 24_000_000
@@ -83,6 +97,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(self.MARK)
+        self.ends = self._word_ends(path)
         self.chunks = _Chunks()
         self.starts, self.counts, self.hits = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.uint32)
@@ -105,31 +120,76 @@ class ChunkTokenizer:
         self.flat = self.flat[_gathered(self.starts[kept], counts)]
         self.starts, self.counts, self.hits = np.cumsum(counts) - counts, counts, self.hits[kept]
 
+    @staticmethod
+    def _word_ends(path: str) -> np.ndarray | None:
+        """Whether an id ends a word; None for a tokenizer by other rules."""
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        model, split = rules["model"], (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = {"type": "Split", "pattern": _SPLIT, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        if rules.get("normalizer") != _NORMALIZER or split[0] != known or len(split) != 2 or split[1] | level != split[1] or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
+            return None
+        ends = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in rules["added_tokens"])]), bool)
+        ends[[n for token, n in model["vocab"].items() if token.endswith("</w>")]] = True
+        return ends
+
     def _learn(self) -> None:
-        new = self.chunks.new
+        new, first = self.chunks.new, len(self.counts)
         if not new:
             return
-        flat: list[np.ndarray] = []
-        counts = np.zeros(len(new), np.int64)
+        words, others, whole, heads, tails = [], [], [], [], []
+        for n, chunk in enumerate(new):  # a part that is not yet known comes behind them
+            found = _SIMPLE.fullmatch(chunk) if self.ends is not None else None
+            if not found:
+                others.append(n)
+            elif chunk == (word := found[1].lower()):
+                words.append(n)
+            else:
+                whole.append(n)
+                heads.append(self.chunks[word])
+                tails.append(self.chunks[found[2]])
+        flat, size = [self.flat], len(self.flat)
+        starts, counts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+
+        def add(which: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+            nonlocal size
+            starts[which], counts[which] = size + np.cumsum(lengths) - lengths, lengths
+            flat.append(ids)
+            size += len(ids)
+
+        for at in range(0, len(words), self.AT_ONCE):
+            part = words[at : at + self.AT_ONCE]
+            ids = np.array(self._ids(" ".join([new[n] for n in part])), np.uint32)
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) == len(part) and cuts[-1] == len(ids) - 1:
+                add(part, ids, np.diff(cuts, prepend=-1))
+            else:
+                others += part
         plain = len(self.mark) == 1
         at = 0
-        while at < len(new):
+        while at < len(others):
             upto = at
-            while plain and upto < min(len(new), at + self.AT_ONCE) and self.MARK not in new[upto]:
+            while plain and upto < min(len(others), at + self.AT_ONCE) and self.MARK not in new[others[upto]]:
                 upto += 1
             if upto - at > 1:
-                ids = np.array(self._ids(f" {self.MARK} ".join(new[at:upto])), np.uint32)
+                ids = np.array(self._ids(f" {self.MARK} ".join([new[n] for n in others[at:upto]])), np.uint32)
                 cuts = np.flatnonzero(ids == self.mark[0])
-                counts[at:upto] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-                flat.append(ids[ids != self.mark[0]])
+                add(others[at:upto], ids[ids != self.mark[0]], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:
                 upto = at + 1
-                flat.append(np.array(self._ids(new[at]), np.uint32))
-                counts[at] = len(flat[-1])
+                ids = np.array(self._ids(new[others[at]]), np.uint32)
+                add(others[at:upto], ids, np.array([len(ids)]))
             at = upto
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, *flat])
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        self.flat = np.concatenate(flat)
+        if whole:
+            parts = np.array([heads, tails]).T.ravel()
+            lengths = self.counts[parts]
+            own = lengths[::2] + lengths[1::2]
+            at = first + np.array(whole)
+            self.starts[at], self.counts[at] = len(self.flat) + np.cumsum(own) - own, own
+            self.flat = np.concatenate([self.flat, self.flat[_gathered(self.starts[parts], lengths)]])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.chunks.new = []
 

@@ -104,3 +104,40 @@ def test_no_more_sequences_than_first_fit_decreasing(seed):
             bins[at] += n
     histogram = {x: lengths.count(x) for x in lengths}
     assert sum(t for t, _ in packing.plan_bins(histogram)) <= len(bins)
+
+
+def test_spellings_of_a_word_are_learned_once(plain, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéßñøth", k=rng.randint(2, 12))) for _ in range(300)]
+    texts = [" ".join(w + tail for w in words) for tail in ("", ",", ".", '!!")', "<|")] + [" ".join(f(w) + ";" for w in words) for f in (str.title, str.upper)]
+    t = packing.ChunkTokenizer(packing.default_tokenizer_path())
+    sent, ids = [], t._ids
+    monkeypatch.setattr(t, "_ids", lambda text: sent.append(text) or ids(text))
+    for text, found in zip(texts, t.encode(texts), strict=True):
+        assert found.tolist() == plain(text).tolist()[:-1]
+    assert sum(map(len, sent)) < 2 * len(texts[0])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chunks_of_any_make(plain, seed, monkeypatch):
+    monkeypatch.setattr(packing.ChunkTokenizer, "MAX_CHUNKS", 200)
+    rng = random.Random(seed)
+    letters = "aAbStTéÉßẞİıǅªºµÿŸ×÷ſKÅéक़ﬁ中0²'’_-.,;:!?\"()[]{}|<>@#`~^  \x1c\x85😂"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(500)] + ["It's", "IT'S,", "we'Ve", "don't.", "a<|endoftext|>b", "É.", "éß,"]
+    t = packing.ChunkTokenizer(packing.default_tokenizer_path())
+    assert t.ends is not None
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    for at in range(0, 60, 20):
+        for text, found in zip(texts[at : at + 20], t.encode(texts[at : at + 20]), strict=True):
+            assert found.tolist() == plain(text).tolist()[:-1]
+
+
+def test_a_tokenizer_by_other_rules(tmp_path):
+    text = open(packing.default_tokenizer_path(), encoding="utf-8").read()
+    assert '"Lowercase"' in text
+    other = tmp_path / "cased.json"
+    other.write_text(text.replace('"Lowercase"', '"NFD"'), encoding="utf-8")
+    t, want = packing.ChunkTokenizer(str(other)), Tokenizer.from_file(str(other))
+    texts = ["The the THE, the. Été été", "A cat, a CAT"]
+    assert t.ends is None
+    assert [x.tolist() for x in t.encode(texts)] == [want.encode(x, add_special_tokens=False).ids for x in texts]
