@@ -110,6 +110,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table_files(spark: SparkSession, path: str) -> tuple:
+    """Path, length and time of change of each file of a table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = [], folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def crc_bucket(column, parts: int):
     """crc32 of the id's decimal text, modulo ``parts``."""
     return F.crc32(column.cast("string").cast("binary")) % parts

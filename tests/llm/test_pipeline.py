@@ -47,3 +47,30 @@ def test_odd_documents(spark, odd, small):
         before, docs = docs, stage(spark, docs, small)
     assert docs.count() >= 0 and "sequence_id" in docs.columns
     assert before.columns == odd.columns
+
+
+def test_one_model(spark, small, tmp_path, monkeypatch):
+    """The mixture takes the first stage's model, once, and only while the tables are the same."""
+    fits = []
+    fit = quality.fit_quality
+    monkeypatch.setattr(quality, "fit_quality", lambda *a: fits.append(1) or fit(*a))
+    folder = str(tmp_path)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def mixed(first) -> Counter:
+        kept = corpus_pipeline.quality_stage(spark, first, folder)
+        return Counter(r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, kept, folder).collect())
+
+    taken = mixed(docs)
+    assert len(fits) == 1
+    kept = corpus_pipeline.quality_stage(spark, docs, folder)
+    corpus_pipeline._MODEL.clear()
+    assert Counter(r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, kept, folder).collect()) == taken and len(fits) == 3
+    mixed(docs.where("doc_id % 2 = 0"))  # not the whole table: its model is not the mixture's
+    assert len(fits) == 5
+    corpus_pipeline.quality_stage(spark, docs, folder)
+    spark.read.parquet(f"{small}/labels.parquet").limit(50).write.mode("append").parquet(f"{folder}/labels.parquet")
+    corpus_pipeline.mixing_stage(spark, kept, folder)
+    assert len(fits) == 7 and not corpus_pipeline.mixing_stage(spark, kept, folder).isEmpty()
