@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: ASCII white space of the word definition used by every operator here.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -177,8 +178,8 @@ def number_rows(spark: SparkSession, ordered: DataFrame, scratch: Scratch, name:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], [*batch.schema.names, "_task", "_nth"])
             at += n
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
-    kept = scratch.save(ordered.mapInArrow(place, f"{schema}, _task int, _nth long"), "numbered")
+    schema = StructType([*ordered.schema, StructField("_task", IntegerType()), StructField("_nth", LongType())])
+    kept = scratch.save(ordered.mapInArrow(place, schema), "numbered")
     first, starts = 0, [(-1, 0)]
     for task, n in sorted(kept.groupBy("_task").count().collect()):
         starts.append((task, first))

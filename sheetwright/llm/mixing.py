@@ -51,25 +51,28 @@ def sampling_key(key: Column, weight: Column, seed: int = 17) -> Column:
 
 
 def keyed(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None, scratch: Scratch, whole: bool = False) -> DataFrame:
-    """A written table of doc_id, source, size, key, nth (among rows of one id and text) and, if ``whole``, the row itself.
+    """A written table of doc_id, source, size, key, tie and, if ``whole``, the columns of ``docs`` by place: _c0, _c1, ...
 
     ``model``: the classifier's table and bias; without one all weights are equal.
     """
-    kept = ["doc_id", "source", "_mark", *(["_row"] if whole else [])]
-    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_mark"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []), "text")
+    carried = [f"_c{i}" for i in range(len(docs.columns))]
+    key, source, text = (carried[docs.columns.index(c)] for c in ("doc_id", "source", "text"))
+    rows = docs.toDF(*carried).select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(key, text).alias("_mark"), *(carried if whole else [text]))
+    kept = [c for c in rows.columns if whole or c != text]
+    at = rows.columns.index(text)
     schema = StructType([*(rows.schema[c] for c in kept), StructField("size", LongType()), StructField("_weight", DoubleType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             size = [len(t.encode().split()) if t else 0 for t in texts]
             weight = np.maximum(score_texts(texts, *model), LEAST_WEIGHT) if model else np.ones(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(weight)], [*kept, "size", "_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(size, pa.int64()), pa.array(weight)], [*kept, "size", "_weight"])
         release_memory()
 
     measured = scratch.save(short_batches(rows).mapInArrow(measure, schema), "measured")
     out = _numbered(spark, measured, scratch)
-    return out.select("doc_id", "source", "size", sampling_key(F.xxhash64("_mark", "nth"), F.col("_weight")).alias("key"), F.xxhash64("_mark", "nth").alias("tie"), *(["_row"] if whole else []))
+    return out.select("doc_id", "source", "size", sampling_key(F.xxhash64("_mark", "nth"), F.col("_weight")).alias("key"), F.xxhash64("_mark", "nth").alias("tie"), *(carried if whole else []))
 
 
 def _numbered(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -174,4 +177,6 @@ def mixed_corpus(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray,
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     scratch = Scratch(spark, "mixing")
     _, rows = mix(spark, keyed(spark, docs, model, scratch, whole=True), scratch)
-    return rows.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    carried = [f"_c{i}" for i in range(len(docs.columns))]
+    taken = rows.where("copies > 0").select(*carried, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return taken.select(*carried).toDF(*docs.columns)

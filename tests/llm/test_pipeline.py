@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_neardup import groups
 
 from sheetwright.llm import quality, secrets
@@ -49,6 +50,19 @@ def test_odd_documents(spark, odd, small):
     assert before.columns == odd.columns
 
 
+def test_columns_of_any_name(spark, docs, small):
+    """Equal rows are numbered and copied with their columns, whatever these are called and hold."""
+    inner = F.struct(F.lit(1).alias("my part"), F.lit("p").alias("a.b:c"))
+    rows = docs.select("*", F.col("doc_id").alias("x`y"), F.lit("z").alias("my col"), inner.alias("a.b"), F.lit(2).alias("_row"), F.lit(3).alias("copies"))
+    twice = rows.union(rows)
+    out = corpus_pipeline.mixing_stage(spark, twice, small)
+    assert out.dtypes == twice.dtypes
+    own = {r["doc_id"]: r for r in rows.collect()}
+    mixed = out.collect()
+    taken = Counter(r["doc_id"] for r in mixed)
+    assert mixed and all(r == own[r["doc_id"]] for r in mixed) and max(taken.values()) <= 4
+
+
 def test_one_model(spark, small, tmp_path, monkeypatch):
     """The mixture takes the first stage's model, once, and only while the tables are the same."""
     fits = []
